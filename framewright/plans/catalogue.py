@@ -1,6 +1,410 @@
-"""Queries of the object-stream operators over the driver's tables, each with its SQL oracle."""
+"""Queries of the object-stream operators over the driver's tables, each with its SQL oracle.
+
+``events`` stand for a diff-encoded event list (user = element, ts = sample position, type = which field an event
+carries), ``embeddings`` for sample and gain vectors, ``lineitem`` for frame headers, texts for frames of bytes.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from framewright.functions import columns as C
+from framewright.operators import grid, mixing, timeline
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), F.col("user_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_type", "value"
+    )
+
+
+_EV = "SELECT event_id AS seq, user_id AS id, epoch_us(ts) AS t, event_type, value FROM events"
+
+
+@query(
+    f"""WITH e AS ({_EV}), c AS (SELECT *, CASE WHEN event_type IN ('click','view') THEN value END AS x, CASE WHEN event_type IN ('purchase','signup') THEN value END AS y FROM e)
+    SELECT seq, id, t, coalesce(last_value(x IGNORE NULLS) OVER w, 0::double) AS x, coalesce(last_value(y IGNORE NULLS) OVER w, 0::double) AS y
+    FROM c WINDOW w AS (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+)
+def ffill_state(spark, sf_dir):
+    """State of each element after each event of a diff-encoded list."""
+    e = _events(spark, sf_dir)
+    e = e.withColumns({"x": F.when(F.col("event_type").isin("click", "view"), F.col("value")), "y": F.when(F.col("event_type").isin("purchase", "signup"), F.col("value"))})
+    return timeline.forward_fill(e, "id", "seq", {"x": 0.0, "y": 0.0}).select("seq", "id", "t", "x", "y")
+
+
+_STEP = 21_600_000_000
+
+
+@query(
+    f"""WITH k AS ({_EV}), b AS (SELECT min(t) AS lo FROM k), ids AS (SELECT DISTINCT id FROM k),
+    g AS (SELECT id, lo + i * {_STEP} AS t FROM ids, b, range(120) r(i)),
+    p AS (SELECT g.id, g.t, k.t AS t0, k.value AS v0 FROM g ASOF LEFT JOIN k ON g.id = k.id AND g.t >= k.t),
+    q AS (SELECT p.*, k.t AS t1, k.value AS v1 FROM p ASOF LEFT JOIN k ON p.id = k.id AND p.t < k.t)
+    SELECT id, t, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * ((t - t0)::double / (t1 - t0)) END, 6) AS v FROM q"""
+)
+def asof_interp(spark, sf_dir):
+    """Keyframes interpolated on a grid; first and last hold."""
+    k = _events(spark, sf_dir).select("id", "t", "seq", F.col("value").alias("v"))
+    lo = k.agg(F.min("t").alias("lo"))
+    g = k.select("id").distinct().join(F.broadcast(lo)).select("id", F.explode(F.sequence(F.col("lo"), F.col("lo") + F.lit(119 * _STEP), F.lit(_STEP))).alias("t"))
+    return timeline.interpolate(g, k, "id", "t", "v", "seq").select("id", "t", F.round("v", 6).alias("v"))
+
+
+_PAN = """SELECT {key}, round(l, 6) AS g_l, round(r, 6) AS g_r, round(c, 6) AS g_c, round(ls, 6) AS g_ls, round(rs, 6) AS g_rs FROM (SELECT {key},
+    CASE WHEN s = 2 THEN cos(f) WHEN s = 1 THEN sin(f) ELSE 0::double END AS l, CASE WHEN s = 3 THEN sin(f) WHEN s = 4 THEN cos(f) ELSE 0::double END AS r,
+    CASE WHEN s = 0 THEN 1::double WHEN s = 2 THEN sin(f) WHEN s = 3 THEN cos(f) ELSE 0::double END AS c,
+    CASE WHEN s = 1 THEN cos(f) WHEN s = 5 THEN sin(f) ELSE 0::double END AS ls, CASE WHEN s = 4 THEN sin(f) WHEN s = 5 THEN cos(f) ELSE 0::double END AS rs
+    FROM (SELECT {key}, s, pi() / 2 * CASE s WHEN 1 THEN (az + 110) / 80 WHEN 2 THEN (az + 30) / 30 WHEN 3 THEN az / 30 WHEN 4 THEN (az - 30) / 80 ELSE (CASE WHEN az >= 110 THEN az - 110 ELSE az + 250 END) / 140 END AS f
+    FROM (SELECT {key}, az, CASE WHEN az IS NULL THEN 0 WHEN az BETWEEN -110 AND -30 THEN 1 WHEN az BETWEEN -30 AND 0 THEN 2 WHEN az BETWEEN 0 AND 30 THEN 3 WHEN az BETWEEN 30 AND 110 THEN 4 ELSE 5 END AS s
+    FROM (SELECT {key}, CASE WHEN x = 0 AND y = 0 THEN NULL ELSE degrees(atan2(x, y)) END AS az FROM {rows}))))"""
+
+
+@query(_PAN.format(key="vec_id", rows="(SELECT vec_id, embedding[1]::double AS x, embedding[2]::double AS y FROM embeddings)"))
+def vbap_pan(spark, sf_dir):
+    """M1: constant-power pairwise pan on the ring."""
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    g = C.pan_vbap(F.col("x"), F.col("y"))
+    return e.select("vec_id", *(F.round(g[i], 6).alias(n) for i, n in enumerate(("g_l", "g_r", "g_c", "g_ls", "g_rs"))))
+
+
+@query("SELECT label, round(sum(list_sum(list_transform(embedding, lambda v: v::double * v::double))) / 1536, 9) AS power FROM embeddings GROUP BY label")
+def mean_square_power(spark, sf_dir):
+    """A5: mean square over the nominal frame length."""
+    return mixing.mean_square(_t(spark, sf_dir, "embeddings"), ["label"], "embedding").select("label", F.round("power", 9).alias("power"))
+
+
+@query(
+    """SELECT label, i::int AS i, j::int AS j, round(sum(embedding[i + 1]::double * embedding[j + 1]::double * abs(embedding[6]::double)), 6) AS g
+    FROM embeddings, range(5) a(i), range(5) b(j) GROUP BY label, i, j"""
+)
+def gram_matrix(spark, sf_dir):
+    """Weighted Gram matrix of gain vectors."""
+    e = _t(spark, sf_dir, "embeddings").select("label", F.transform(F.slice("embedding", 1, 5), lambda v: v.cast("double")).alias("d"), F.abs(F.col("embedding")[5].cast("double")).alias("p"))
+    return mixing.gram(e, ["label"], "d", "p", 5).select("label", "i", "j", F.round("g", 6).alias("g"))
+
+
+def _crc_sql(width: int, poly: int) -> str:
+    mask = (1 << width) - 1
+    bits = "list_transform(range(0, 512), lambda i: (instr('0123456789ABCDEF', substr(h, (i // 4 + 1)::int, 1)) - 1) >> (3 - i % 4)::int & 1)"
+    return f"""SELECT item_id, list_reduce(list_prepend(0::bigint, list_transform({bits}, lambda b: b::bigint)),
+        lambda c, b: xor((c << 1) & {mask}, CASE WHEN xor((c >> {width - 1}) & 1, b) = 1 THEN {poly}::bigint ELSE 0::bigint END))::bigint AS crc
+        FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark)"""
+
+
+def _crc(width: int, poly: int):
+    def run(spark, sf_dir):
+        b = _t(spark, sf_dir, "benchmark").select("item_id", F.substring(F.col("text").cast("binary"), 1, 64).alias("b"))
+        return b.select("item_id", C.crc_msb(F.col("b"), width, poly).alias("crc"))
+
+    return run
+
+
+for _n, _w, _p in (("crc16_fold", 16, 0x8005), ("crc32_fold", 32, 0x04C11DB7), ("crc8_fold", 8, 0x2F)):
+    QUERIES[_n] = _crc(_w, _p)
+    ORACLE_SQL[_n] = _crc_sql(_w, _p)
+
+_TREE = """WITH RECURSIVE t(node, bit, nxt) AS (SELECT * FROM (VALUES (0, 0, 1), (0, 1, 2), (1, 0, -1), (1, 1, -2), (2, 0, 3), (2, 1, -3), (3, 0, -4), (3, 1, 4), (4, 0, -5), (4, 1, -6)) v(node, bit, nxt)),
+    w(nxt, code, len) AS (SELECT nxt, bit, 1 FROM t WHERE node = 0 UNION ALL SELECT t.nxt, w.code * 2 + t.bit, w.len + 1 FROM w JOIN t ON t.node = w.nxt WHERE w.nxt >= 0)
+    SELECT -nxt - 1 AS sym, code, len FROM w WHERE nxt < 0"""
+
+
+@query(_TREE)
+def huffman_codes(spark, sf_dir):
+    """C11: the code table of a decode tree."""
+    return spark.sql(_TREE)
+
+
+@query("SELECT item_id, bin(text) AS bits FROM benchmark")
+def bit_string(spark, sf_dir):
+    """B1: bytes as a string of bits, first bit first."""
+    return _t(spark, sf_dir, "benchmark").select("item_id", C.bit_string(F.col("text").cast("binary")).alias("bits"))
+
+
+_KEY = b"framewright".ljust(64, b"\0")
+_IPAD, _OPAD = bytes(k ^ 0x36 for k in _KEY).hex(), bytes(k ^ 0x5C for k in _KEY).hex()
+
+
+@query(f"SELECT item_id, sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode(text)))) AS mac FROM benchmark")
+def hmac_sha256(spark, sf_dir):
+    """Keyed MAC from nested digests."""
+    return _t(spark, sf_dir, "benchmark").select("item_id", C.hmac_sha256(F.col("text").cast("binary"), b"framewright").alias("mac"))
+
+
+@query(f"SELECT id, list(struct_pack(t := t, v := value) ORDER BY t, seq) AS keys FROM ({_EV}) GROUP BY id")
+def keyframes_by_object(spark, sf_dir):
+    """Each element's keyframes in order."""
+    e = _events(spark, sf_dir).select("id", "t", "seq", F.col("value").alias("v"))
+    return timeline.keyframes(e, "id", "t", "v", "seq")
+
+
+@query(
+    """SELECT a.vec_id, list_transform(range(1, 6), lambda i: round(a.embedding[i]::double + (b.embedding[i]::double - a.embedding[i]::double) * 0.25::double, 6)) AS g
+    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+)
+def gain_interp(spark, sf_dir):
+    """M2: component-wise interpolation of gain vectors."""
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 5), lambda v: v.cast("double")).alias("g"))
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("g").alias("h"))
+    return e.join(nxt, "vec_id").select("vec_id", F.transform(C.lerp("g", "h", F.lit(0.25)), lambda v: F.round(v, 6)).alias("g"))
+
+
+@query(
+    """SELECT event_id, user_id, coalesce(sum(CASE WHEN event_type <> 'view' THEN 256 * (1 + event_id % 6) ELSE 0 END)
+    OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM events"""
+)
+def frame_grid_start(spark, sf_dir):
+    """First sample of each frame; only independent frames move on."""
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_type") != "view").alias("independent"), (256 * (1 + F.col("event_id") % 6)).alias("samples"))
+    return grid.starts(e, "user_id", "event_id", "independent", "samples").select("event_id", "user_id", "start")
+
+
+@query(f"SELECT id, (t // {_STEP})::bigint AS bin, round(sum(value * value) / 1536, 6) AS power FROM ({_EV}) GROUP BY 1, 2")
+def bin_power(spark, sf_dir):
+    """Samples binned on a regular grid."""
+    e = grid.binned(_events(spark, sf_dir), "t", _STEP)
+    return e.groupBy("id", "bin").agg(F.round(F.sum(F.col("value") * F.col("value")) / 1536, 6).alias("power"))
+
+
+@query(
+    """SELECT label, round(sum(embedding[1]::double * embedding[2]::double) * pow(10::double, -3::double / 20), 6) AS l, round(sum(embedding[1]::double * embedding[3]::double) * pow(10::double, -3::double / 20), 6) AS r,
+    round(sum(embedding[1]::double * embedding[4]::double) * pow(10::double, -3::double / 20), 6) AS c FROM embeddings GROUP BY label"""
+)
+def downmix_mix(spark, sf_dir):
+    """Weighted mix at a gain in dB."""
+    e = _t(spark, sf_dir, "embeddings")
+    d = [F.col("embedding")[i].cast("double") for i in range(4)]
+    return e.groupBy("label").agg(*(F.round(F.sum(d[0] * d[i]) * C.db_to_linear(F.lit(-3.0)), 6).alias(n) for i, n in ((1, "l"), (2, "r"), (3, "c"))))
+
+
+@query(
+    """SELECT label, round(p, 6) AS peak, CASE WHEN p > 0 THEN round(20 * log10(p), 5) END AS dbfs FROM
+    (SELECT label, max(list_max(list_transform(embedding, lambda v: abs(v::double)))) AS p FROM embeddings GROUP BY label)"""
+)
+def peak_dbfs(spark, sf_dir):
+    """Peak and its level; no level for silence."""
+    p = _t(spark, sf_dir, "embeddings").groupBy("label").agg(F.max(F.array_max(F.transform("embedding", lambda v: F.abs(v.cast("double"))))).alias("p"))
+    return p.select("label", F.round("p", 6).alias("peak"), F.round(C.linear_to_db(F.col("p")), 5).alias("dbfs"))
+
+
+@query(
+    """SELECT vec_id, least(62, greatest(0, round((x + 1) / 2 * 62)))::int AS px, least(62, greatest(0, round((1 - y) / 2 * 62)))::int AS py, (z >= 0) AS up, least(15, round(abs(z) * 15))::int AS pz,
+    least(191, greatest(0, round(x / 0.1::double) + 96))::int AS code, ((((round(x / 0.1::double) + 96) - 200)::int % 192 + 192) % 192)::int AS wrapped
+    FROM (SELECT vec_id, embedding[1]::double AS x, embedding[2]::double AS y, embedding[3]::double AS z FROM embeddings)"""
+)
+def quantize(spark, sf_dir):
+    """M5, M7, M8: position and gain codes."""
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate("xyz")))
+    q = C.quantize_position(F.col("x"), F.col("y"), F.col("z"))
+    raw = F.round(F.col("x") / F.lit(0.1)) + 96
+    return e.select("vec_id", q["px"].alias("px"), q["py"].alias("py"), q["up"].alias("up"), q["pz"].alias("pz"), C.quantize_gain(F.col("x")).alias("code"), F.pmod((raw - 200).cast("int"), F.lit(192)).alias("wrapped"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, ((96 + sum(l_quantity::bigint) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING)) % 192)::bigint AS code FROM lineitem"""
+)
+def band_prefix_mod(spark, sf_dir):
+    """Band-differential codes."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.pmod(96 + F.sum(F.col("l_quantity").cast("long")).over(w), F.lit(192)).alias("code"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def substream_hist(spark, sf_dir):
+    """A1: frames by type and substream."""
+    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS frames, count(*) FILTER (WHERE event_type = 'click') AS flags, count(*) FILTER (WHERE value > 50) AS over, count(*) FILTER (WHERE event_type <> 'view' AND value <= 50) AS others FROM events")
+def signal_totals(spark, sf_dir):
+    """A2, A3: conditional counters."""
+    e = _t(spark, sf_dir, "events")
+    return e.agg(F.count("*").alias("frames"), F.count_if(F.col("event_type") == "click").alias("flags"), F.count_if(F.col("value") > 50).alias("over"), F.count_if((F.col("event_type") != "view") & (F.col("value") <= 50)).alias("others"))
+
+
+@query(f"SELECT id, count(*) AS n, max(t) AS last_t, CASE WHEN count(*) > 16 THEN 'moving' ELSE 'static' END AS kind FROM ({_EV}) GROUP BY id HAVING count(*) > 1")
+def movers(spark, sf_dir):
+    """Elements with more than one event."""
+    return timeline.movers(_events(spark, sf_dir), "id", "t", 16)
+
+
+@query(
+    """SELECT user_id, min(CASE WHEN prev IS NULL OR event_id % 1024 = (prev + 1) % 1024 THEN 1 ELSE 0 END)::int AS monotonic, count(*) AS n FROM
+    (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) GROUP BY user_id"""
+)
+def seq_monotonic(spark, sf_dir):
+    """Do sequence numbers go up by one, modulo 1024?"""
+    return grid.monotonic(_t(spark, sf_dir, "events"), "user_id", "event_id", 1024)
+
+
+@query(
+    """WITH b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS j, item_id FROM benchmark WHERE length(text) > 200), a AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, doc_id FROM documents)
+    SELECT doc_id, item_id FROM a JOIN b ON a.i % (SELECT count(*) FROM b) = b.j"""
+)
+def cycle_join(spark, sf_dir):
+    """The i-th row of one side with the (i mod n)-th of the other."""
+    b = _t(spark, sf_dir, "benchmark").where(F.length("text") > 200).select("item_id")
+    return grid.cycle_join(_t(spark, sf_dir, "documents").select("doc_id"), "doc_id", b, "item_id").select("doc_id", "item_id")
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, l.doc_id IS NULL AS verbatim FROM documents d LEFT JOIN labels l USING (doc_id)")
+def zip_fallback(spark, sf_dir):
+    """Pairing by position, verbatim where the other side has none."""
+    d, o = _t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(False).alias("hit"))
+    return d.join(o, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce(F.col("hit"), F.lit(True)).alias("verbatim"))
+
+
+@query("SELECT n_nationkey, r_name, (row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1)::int AS channel FROM nation JOIN region ON n_regionkey = r_regionkey")
+def layout_channel(spark, sf_dir):
+    """Element ids with their channels."""
+    n = _t(spark, sf_dir, "nation").join(F.broadcast(_t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select("n_nationkey", "r_name", (F.row_number().over(Window.orderBy("n_regionkey", "n_nationkey")) - 1).alias("channel"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
+    SELECT doc_id, i::int AS i, (sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - strlen(line) - 1)::bigint AS at, strlen(line)::int AS size FROM l"""
+)
+def frame_offsets(spark, sf_dir):
+    """Offsets of chained records."""
+    lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return grid.offsets(lines.withColumn("size", F.octet_length("line")), "doc_id", "i", "size", 1).select("doc_id", "i", "at", "size")
+
+
+@query("SELECT event_id, (props ->> '$.k')::int AS k FROM events")
+def payload_field(spark, sf_dir):
+    """A field of a tagged payload."""
+    return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' ORDER BY event_id LIMIT 3")
+def first_n_matching(spark, sf_dir):
+    """The first three that match."""
+    return _t(spark, sf_dir, "events").where("event_type = 'purchase'").orderBy("event_id").limit(3).select("event_id", "user_id", "value")
+
+
+@query("SELECT lang, min(n_chars) AS least, max(n_chars) AS most, (sum(n_chars) // count(*))::bigint AS mean FROM documents GROUP BY lang")
+def size_stats(spark, sf_dir):
+    """Sizes, the mean rounded down."""
+    return _t(spark, sf_dir, "documents").groupBy("lang").agg(F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.expr("sum(n_chars) div count(*)").alias("mean"))
+
+
+@query("SELECT item_id, lower(hex(encode(text))) AS hex, decode(unhex(hex(encode(text)))) = text AS same FROM benchmark")
+def hex_roundtrip(spark, sf_dir):
+    """Hexadecimal and back."""
+    b = F.col("text").cast("binary")
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.lower(F.hex(b)).alias("hex"), (F.unhex(F.hex(b)).cast("string") == F.col("text")).alias("same"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, 'th'))::int AS n, strpos(text, 'th')::int AS first FROM documents")
+def sync_scan(spark, sf_dir):
+    """Occurrences of a sync word and the first one's place."""
+    return _t(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit("th")).alias("n"), F.instr("text", "th").alias("first"))
+
+
+@query("SELECT doc_id, strlen(text)::int AS bytes, (strlen(text) + strlen(text) % 2)::int AS even, (1536 * (1 + doc_id % 6))::bigint AS samples FROM documents")
+def byte_length(spark, sf_dir):
+    """Sizes in bytes, to the next even number, and samples."""
+    n = F.octet_length("text")
+    return _t(spark, sf_dir, "documents").select("doc_id", n.alias("bytes"), (n + n % 2).alias("even"), (1536 * (1 + F.col("doc_id") % 6)).alias("samples"))
+
+
+@query(
+    """SELECT DISTINCT v, CASE WHEN v < 16 THEN lpad(bin(v), 4, '0') || '0' WHEN v < 272 THEN lpad(bin((v - 16) // 16), 4, '0') || '1' || lpad(bin((v - 16) % 16), 4, '0') || '0'
+    ELSE lpad(bin((v - 272) // 256), 4, '0') || '1' || lpad(bin((v - 272) // 16 % 16), 4, '0') || '1' || lpad(bin((v - 272) % 16), 4, '0') || '0' END AS bits
+    FROM (SELECT (l_orderkey % 4368)::bigint AS v FROM lineitem)"""
+)
+def varbits_encode(spark, sf_dir):
+    """Variable-length integers in groups of four bits."""
+    return _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 4368).alias("v")).distinct().select("v", C.variable_bits(F.col("v"), 4).alias("bits"))
+
+
+@query(
+    """SELECT event_id, ['2/0','1/0','2/0','3/0','2/1','3/1','2/2','3/2'][(event_id % 8 + 1)::int] AS layout, [2, 1, 2, 3, 3, 4, 4, 5][(event_id % 8 + 1)::int]::int AS full_channels,
+    CASE event_type WHEN 'click' THEN 'independent' WHEN 'view' THEN 'dependent' WHEN 'purchase' THEN 'converted' ELSE 'reserved' END AS kind,
+    CASE WHEN value > 90 THEN 'level' WHEN event_type = 'error' THEN 'type' END AS unsupported_reason FROM events"""
+)
+def frame_labels(spark, sf_dir):
+    """Header fields by name, and why a frame is outside the subset."""
+    from framewright.schemas import FULL_CHANNELS, LAYOUTS
+
+    at = (F.col("event_id") % 8).cast("int") + 1
+    kind = F.when(F.col("event_type") == "click", "independent").when(F.col("event_type") == "view", "dependent").when(F.col("event_type") == "purchase", "converted").otherwise("reserved")
+    why = F.when(F.col("value") > 90, "level").when(F.col("event_type") == "error", "type")
+    return _t(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, LAYOUTS)), at).alias("layout"), F.element_at(F.array(*map(F.lit, FULL_CHANNELS)), at).alias("full_channels"), kind.alias("kind"), why.alias("unsupported_reason"))
+
+
+@query("SELECT vec_id, list_transform(embedding[1:8], lambda v: round(v::double * 2, 6)) AS doubled FROM embeddings")
+def grouped_transform(spark, sf_dir):
+    """A user's Arrow function over rows."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def twice(batches):
+        for b in batches:
+            v = b.column("v").flatten()
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.ListArray.from_arrays(b.column("v").offsets, pc.multiply(v, 2.0))], names=["vec_id", "v"])
+
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("v"))
+    return e.mapInArrow(twice, e.schema).select("vec_id", F.transform("v", lambda v: F.round(v, 6)).alias("doubled"))
+
+
+@query()
+def lsq_ridge(spark, sf_dir):
+    """Regularised least squares of object vectors against the mix, per frame."""
+    e = _t(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("frame_idx"), F.col("vec_id").alias("obj"), F.slice("embedding", 1, 5).alias("d"), F.abs(F.col("embedding")[5]).alias("p"))
+    return mixing.ridge(e, "frame_idx", "obj", "d", "p")
+
+
+def _synthetic(spark, n: int = 400) -> DataFrame:
+    return spark.range(n).select(F.col("id").alias("frame_idx"), *(F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i, k=k: ((i * (7 + k) + F.col("id") * (3 + k)) % 41 / 20 - 1).cast("double")).alias(c) for k, c in enumerate("xyz")))
+
+
+@query()
+def oamd_roundtrip(spark, sf_dir):
+    """Positions encoded, wrapped, decoded, compared."""
+    from framewright.operators import codecs
+
+    return codecs.oamd_roundtrip(_synthetic(spark))
+
+
+@query()
+def emdf_roundtrip(spark, sf_dir):
+    """Benchmark texts as payloads of a container, listed and verified."""
+    from framewright.operators import codecs
+
+    return codecs.emdf_roundtrip(_t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("frame_idx"), F.substring(F.col("text").cast("binary"), 1, 200).alias("payload")))
+
+
+@query()
+def joc_roundtrip(spark, sf_dir):
+    """Matrices encoded with a given code tree, decoded, compared."""
+    from framewright.operators import codecs
+
+    return codecs.joc_roundtrip(_synthetic(spark, 100))
+
+
+@query()
+def frame_identity(spark, sf_dir):
+    """S5, S6, ST1, K3: streams of frames with junk between them, cut and put together again."""
+    from framewright.operators import frames
+
+    return frames.identity_check(_t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("stream_id"), F.col("text").cast("binary").alias("fill")))
