@@ -103,9 +103,10 @@ class Forest:
         return 1 / (1 + np.exp(-out))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate: float = 0.1, bins: int = 64, l2: float = 1.0, least: float = 20.0) -> Forest:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate: float = 0.1, bins: int = 64, l2: float = 1.0) -> Forest:
     """Logistic boosting on binned features; splits by gain from per-node histograms of gradients."""
     n, f = x.shape
+    least = min(20.0, max(3.0, n / 100))  # rows of a leaf
     prior = float(np.clip(y.mean() if n else 0.5, 1e-3, 1 - 1e-3))
     base = float(np.log(prior / (1 - prior)))
     feature, cut, left, right, value, roots = [], [], [], [], [], []
