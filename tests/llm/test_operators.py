@@ -264,8 +264,8 @@ def test_passages(spark, docs, none):
     assert {201, 202, 203} <= set(by) and all(r["doc_id"] != r["of_doc_id"] and r["similarity"] >= 0.8 for r in got)
     assert by[203]["n_words"] >= 60 and by[203]["first_word"] <= 31
     assert passages.repeated(none).count() == 0
-    at, at2 = np.array([0, 5, 10, 3, 40]), np.array([100, 105, 110, 50, 140])
-    assert passages.chain(at, at2)[0][:4] == (0, 45, 100, 145)
+    at, at2 = np.array([0, 5, 10, 3, 30]), np.array([100, 105, 110, 50, 130])
+    assert passages.chain(at, at2)[0][:4] == (0, 35, 100, 135)
 
 
 def test_html(spark):
