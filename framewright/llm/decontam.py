@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,14 @@ def lcs(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
+def coded(split: list[list[str]], terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text begins in the run of all words (and the end), and the places and numbers of the words that are terms."""
+    first = np.cumsum([0, *map(len, split)])
+    code = np.fromiter(map(terms.get, chain.from_iterable(split), repeat(-1)), dtype=np.int32, count=int(first[-1]))
+    at = np.flatnonzero(code >= 0)
+    return first, at, code[at]
+
+
 @dataclass
 class Index:
     terms: dict[str, int]
@@ -65,42 +74,35 @@ class Index:
     words: list[list[str]]
     sets: list[frozenset[int]]
 
-    def passages(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """First words of a text's passages that have terms, their unit vectors and their terms."""
-        get = self.terms.get
-        hit = [(i, t) for i, t in enumerate(map(get, words)) if t is not None]
-        if not hit:
-            return np.zeros(0, dtype=np.int64), np.zeros((0, self.vectors.shape[1]), dtype=np.float32), []
-        at, term = np.array(hit, dtype=np.int64).T
-        starts = np.arange(0, max(1, len(words) - STEP), STEP)
-        lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + PASSAGE)
+    def passages(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of all texts: which text each passage with terms is of, its first word, its unit vector and its terms."""
+        first, at, term = coded(split, self.terms)
+        size = np.diff(first)
+        owner, k = spans(np.where(size > 0, np.maximum(1, -(-(size - STEP) // STEP)), 0))
+        begin = first[owner] + k * STEP
+        lo, hi = np.searchsorted(at, begin), np.searchsorted(at, np.minimum(begin + PASSAGE, first[owner + 1]))
         some = hi > lo
-        starts, lo, hi = starts[some], lo[some], hi[some]
-        out = np.zeros((len(starts), self.vectors.shape[1]), dtype=np.float32)
-        for a in range(0, len(starts), 4096):  # bounded, however long a text is
-            b = min(len(starts), a + 4096)
+        owner, begin, lo, hi = owner[some], begin[some], lo[some], hi[some]
+        out = np.zeros((len(begin), self.vectors.shape[1]), dtype=np.float32)
+        for a in range(0, len(begin), 2048):  # bounded, however long a text is
+            b = min(len(begin), a + 2048)
             run = np.zeros((hi[b - 1] - lo[a] + 1, out.shape[1]))
             np.cumsum(self.vectors[term[lo[a] : hi[b - 1]]], axis=0, out=run[1:])
             out[a:b] = run[hi[a:b] - lo[a]] - run[lo[a:b] - lo[a]]
-        size = np.sqrt((out * out).sum(axis=1))
-        ok = size > 1e-6
-        return starts[ok], out[ok] / size[ok][:, None], [term[a:b] for a, b in zip(lo[ok], hi[ok], strict=True)]
+        length = np.sqrt(np.einsum("ij,ij->i", out, out))
+        ok = np.flatnonzero(length > 1e-6)
+        return owner[ok], begin[ok] - first[owner[ok]], out[ok] / length[ok][:, None], [term[lo[i] : hi[i]] for i in ok]
 
     def matches(self, texts: list[str | None]) -> list[list[tuple]]:
         """Per text, one (item id, cosine, overlap, answer, first word, words) for each item that it holds."""
         found: list[list[tuple]] = [[] for _ in texts]
         for lo in range(0, len(texts), 200):
             split = [words_of(t) for t in texts[lo : lo + 200]]
-            parts = [self.passages(w) for w in split]
-            owner = np.repeat(np.arange(len(split)), [len(s) for s, _, _ in parts])
-            if not len(owner):
-                continue
-            start, vec = np.concatenate([s for s, _, _ in parts]), np.concatenate([v for _, v, _ in parts])
-            terms = [t for _, _, ts in parts for t in ts]
+            owner, start, vec, terms = self.passages(split)
             best: dict[tuple[int, int], tuple] = {}
             for a in range(0, len(vec), 4096):
                 cos = vec[a : a + 4096] @ self.items.T
-                for r, i in np.argwhere(cos >= COSINE):
+                for r, i in zip(*np.nonzero(cos >= COSINE), strict=True):
                     have = self.sets[i]
                     if len(have.intersection(terms[a + r].tolist())) < SHARED * len(have) * min(1.0, PASSAGE / len(self.words[i])):
                         continue
@@ -140,13 +142,15 @@ def _frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, total = np.zeros(len(terms) + 1, dtype=np.int64), 0
         for b in batches:
-            for text in b.column("text").to_pylist():
-                words = words_of(text)
-                hit = [(i // PASSAGE, t) for i, t in enumerate(map(terms.get, words)) if t is not None]
-                total += -(-len(words) // PASSAGE)
-                if hit:
-                    p, t = np.array(hit, dtype=np.int64).T
-                    df += np.bincount(np.unique(p * len(terms) + t) % len(terms), minlength=len(df))
+            texts = b.column("text")
+            for lo in range(0, len(b), 500):
+                split = [words_of(t) for t in texts.slice(lo, 500).to_pylist()]
+                first, at, term = coded(split, terms)
+                passages = -(-np.diff(first) // PASSAGE)
+                total += int(passages.sum())
+                owner = np.searchsorted(first, at, side="right") - 1
+                p = (np.cumsum(passages) - passages)[owner] + (at - first[owner]) // PASSAGE
+                df += np.bincount(np.unique(p * len(terms) + term) % len(terms), minlength=len(df))
         df[-1] = total
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["at", "n"])
@@ -213,21 +217,22 @@ def index(docs: DataFrame, items: list[tuple[int | None, str]]) -> Index | None:
         v = n * idf[t.astype(np.int64)]
         return t.astype(int).tolist(), (v / np.linalg.norm(v)).tolist()
 
+    # the sample: some documents, and of these some passages
     share = min(1.0, FIT_PASSAGES / max(1, passages))
+    some_docs = min(1.0, 8 * share)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for h, text in zip(b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ws = words_of(text)
-                for p in np.flatnonzero(np.random.default_rng(h & 0xFFFFFFFF).random(-(-len(ws) // PASSAGE)) < share):
+                for p in np.flatnonzero(np.random.default_rng(h & 0xFFFFFFFF).random(-(-len(ws) // PASSAGE)) < share / some_docs):
                     row = tfidf(ws[p * PASSAGE : (p + 1) * PASSAGE])
                     if row:
                         rows.append(row)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.list_(pa.int32())), pa.array([r[1] for r in rows], type=pa.list_(pa.float64()))], names=["ts", "ws"])
 
-    # a document gives a passage to the sample with this chance or less; the rest of the documents isn't read by Python
-    some = docs.select(F.col("text").cast("string"), F.xxhash64("text").alias("h")).where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 20_000 * share)))
+    some = docs.select(F.col("text").cast("string"), F.xxhash64("text").alias("h")).where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < int(1_000_000 * some_docs))
     own = [r for r in map(tfidf, words) if r]
     schema = "ts array<int>, ws array<double>"
     rows = some.mapInArrow(sample, schema).unionByName(spark.createDataFrame(own, schema)) if own else some.mapInArrow(sample, schema)
