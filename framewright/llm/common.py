@@ -6,6 +6,7 @@ share); nothing is ever kept in an executor's own folder or in the driver's memo
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -53,6 +54,12 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs now: it does so once their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_text(c: str = "doc_id"):
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
