@@ -9,7 +9,6 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -69,9 +68,6 @@ def crc_mod(c: str, n: int):
     return F.crc32(id_text(c).cast("binary")) % F.lit(n)
 
 
-def py_crc_mod(value, n: int) -> int:
-    return zlib.crc32(b"" if value is None else str(value).encode()) % n
-
 
 def spans(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For ragged groups of the given sizes: each element's group, and its place in the group."""

@@ -23,7 +23,7 @@ from framewright.llm.common import crc_mod, group_sums, table
 ORDER = 4
 #: Training documents per language, in expectation: rows are kept by hash with probability bound / count.
 DOCS_PER_LANG = 1500
-#: Languages with fewer training documents than this are not learned.
+#: Runs of letters in any script.
 LETTERS = re.compile(r"[^\W\d_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
