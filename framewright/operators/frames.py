@@ -242,12 +242,22 @@ def inject_full(frame: bytes, addbsi: bytes, payload: bytes, bits: int | None =
     return _finish(w, _aux(payload, 8 * len(payload) if bits is None else bits))
 
 
-def inject_skip(frame: bytes, addbsi: bytes, payload: bytes, points: list[int] | None, flag_bit: int | None, target: int = 2) -> bytes | None:
-    """The payload in the skip field of one block, given the blocks' skip points and the syntax flag's bit; None: use C17."""
-    i = info(frame)
-    if i is None or i.fields["addbsie"] or not points or flag_bit is None or not 0 <= target < len(points) or len(payload) > 511:
+def inject_skip(frame: bytes, addbsi: bytes, payload: bytes, points: list[int] | None, flag_bit: int | None, target: int = 2, info_block: bool = True) -> bytes | None:
+    """The payload in the skip field of one block, given the blocks' skip points and the syntax flag's bit; None: use C17.
+
+    ``info_block`` adds an information block of zeros where there is none and its length is known (nine bits).
+    """
+    i, h = info(frame), header(frame)
+    if i is None or i.fields["addbsie"] or not points or flag_bit is None or not 0 <= target < len(points) or len(payload) > 511 or not 1 <= len(addbsi) <= 64:
         return None
-    w = BitWriter().bits(frame, i.addbsie_bit).write(1, 1).write(len(addbsi) - 1, 6).bits(addbsi, 8 * len(addbsi))
+    places = [i.addbsie_bit, flag_bit, *points, 8 * len(frame) - 18]
+    if any(a >= b for a, b in zip(places[:2], places[1:])) or any(a > b for a, b in zip(places[2:], places[3:])) or get_bits(frame, flag_bit, 1):
+        return None
+    w, at = BitWriter(), 0
+    if info_block and not i.fields["infomdate"] and h.acmod == 7 and h.fscod < 3:
+        w.bits(frame, i.infomdate_bit).write(1, 1).write(0, 9)
+        at = i.infomdate_bit + 1
+    w.bits(frame, i.addbsie_bit - at, at).write(1, 1).write(len(addbsi) - 1, 6).bits(addbsi, 8 * len(addbsi))
     w.bits(frame, flag_bit - i.end_bit, i.end_bit).write(1, 1)
     at = flag_bit + 1
     for k, p in enumerate(points):
@@ -255,8 +265,7 @@ def inject_skip(frame: bytes, addbsi: bytes, payload: bytes, points: list[int] |
         if k == target:
             w.write(len(payload), 9).bits(payload, 8 * len(payload))
         at = p
-    end = 8 * len(frame) - 18
-    w.bits(frame, max(0, end - at), at)
+    w.bits(frame, places[-1] - at, at)
     return _finish(w, BitWriter().write(0, 2))
 
 

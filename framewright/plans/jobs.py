@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import columns as C
-from framewright.operators import codecs, frames, grid, mixing, timeline
+from framewright.operators import allocation, blocks, codecs, frames, grid, mixing, timeline
 from framewright.operators.codecs import mapped
 from framewright.schemas import JOC_ID, OAMD_ID
 
@@ -88,19 +88,23 @@ def inject_objects(table: DataFrame, events: DataFrame, ids: list[int], protecto
     return mapped(both, "stream_id string, frame_idx long, bytes binary, ok boolean", row, "stream_id", "frame_idx", "bytes", "objects")
 
 
-def inject_all(table: DataFrame, objects: DataFrame, gains: DataFrame, trees: codecs.Trees, protector=None) -> DataFrame:
-    """Positions ``(frame_idx, objects)`` and gains with powers ``(frame_idx, rows[d, p])`` solved, encoded and put into each frame."""
+def inject_all(table: DataFrame, objects: DataFrame, gains: DataFrame, trees: codecs.Trees, protector=None, tables: allocation.Tables | None = None) -> DataFrame:
+    """Positions ``(frame_idx, objects)`` and gains with powers ``(frame_idx, rows[d, p])`` solved, encoded and put into each frame.
+
+    ``carriage`` tells where: ``skip`` (the third block's skip field), ``aux`` or ``aux only`` (the frame's end,
+    with or without the flag in its additional information), ``none`` (too long; the frame is as it was).
+    """
     both = table.join(objects, "frame_idx", "left").join(gains, "frame_idx", "left")
 
     def row(sid, idx, data, objs, rows):
         pos = [tuple(o["pos"]) for o in objs or []]
         m = mixing.solve(np.array([r["d"] for r in rows]), np.array([r["p"] for r in rows])).tolist() if rows else [[0.0] * 5] * max(1, len(pos))
         buf = codecs.wrap([(OAMD_ID, codecs.encode_objects(pos, True)), (JOC_ID, codecs.encode_matrices(m, idx, trees)), (2, b"\x04\x94\x80"), (1, b"\x02\x00")], protector)
-        new = frames.inject_full(data, bytes([1, min(len(pos) + 1, 16)]), buf) or frames.inject_aux(data, buf)
-        back = codecs.find(new) if new else None
-        return [(sid, idx, new or data, bool(back and len(codecs.walk(back[1]).payloads) == 4), len(buf))]
+        new, how = blocks.carry(data, bytes([1, min(len(pos) + 1, 16)]), buf, tables=tables) or (data, "none")
+        back = codecs.find(new) if how != "none" else None
+        return [(sid, idx, new, bool(back and len(codecs.walk(back[1]).payloads) == 4), len(buf), how)]
 
-    return mapped(both, "stream_id string, frame_idx long, bytes binary, ok boolean, metadata_bytes int", row, "stream_id", "frame_idx", "bytes", "objects", "rows")
+    return mapped(both, "stream_id string, frame_idx long, bytes binary, ok boolean, metadata_bytes int, carriage string", row, "stream_id", "frame_idx", "bytes", "objects", "rows")
 
 
 def probe_matrices(table: DataFrame, trees: codecs.Trees) -> DataFrame:
@@ -117,8 +121,18 @@ def probe_matrices(table: DataFrame, trees: codecs.Trees) -> DataFrame:
     return mapped(table, "frame_idx long, seq int, channels int, objects int, error string", row, "frame_idx", "bytes")
 
 
+def walk_blocks(table: DataFrame, tables: allocation.Tables | None = None) -> DataFrame:
+    """Each frame's skip points, and whether its last block ends where the frame's tail begins; null if the walk stopped."""
+
+    def row(idx, data):
+        seen = blocks.walk(data, tables)
+        return [(idx, seen.points, seen.end_bit, None if seen.end_bit is None else seen.end_bit == 8 * len(data) - 18, seen.unsupported)]
+
+    return mapped(table, "frame_idx long, skip_points array<int>, end_bit int, exact boolean, unsupported_reason string", row, "frame_idx", "bytes")
+
+
 def probe_headers(table: DataFrame) -> DataFrame:
-    """The stream information and audio header of each frame, and why a frame is outside the subset."""
+    """The stream information and audio header of each frame, and why a frame is outside the subset."""
 
     def row(idx, data):
         i, a = frames.info(data), frames.audio_header(data)
@@ -138,7 +152,8 @@ def graft(core: DataFrame, reference: DataFrame) -> DataFrame:
     both = grid.cycle_join(core.select("stream_id", "frame_idx", "bytes"), "frame_idx", donors, "ref_idx")
 
     def row(sid, idx, data, buf):
-        return [(sid, idx, frames.inject_full(data, b"\x01\x10", buf) or frames.inject_aux(data, buf) or data)]
+        new = blocks.carry(data, b"\x01\x10", buf) if buf else None
+        return [(sid, idx, new[0] if new else data)]
 
     return mapped(both, "stream_id string, frame_idx long, bytes binary", row, "stream_id", "frame_idx", "bytes", "container")
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.functions import bits, columns
-from framewright.operators import allocation, codecs, frames, mixing, timeline
+from framewright.operators import allocation, blocks, codecs, frames, mixing, timeline
 from framewright.plans import jobs
 from framewright.sinks import ordered
 from framewright.sources import caf, events, streams
@@ -102,7 +102,8 @@ def test_rewriting():
     assert not codecs.verify(codecs.find(frames.mutate(withit, corrupt_secondary=True))[1])["match"]
     assert frames.splice(f, small) is None and frames.mutate(f, 1) is None and frames.inject_aux(head(4096), b"x") is None
     skip = frames.inject_skip(f, b"\x01\x0e", buf, [70, 90, 110, 130, 150, 170], 60)
-    assert codecs.find(skip)[1] == buf and len(skip) % 2 == 0
+    assert codecs.find(skip)[1] == buf and len(skip) % 2 == 0 and frames.extension(skip) == (True, 14) and frames.info(skip).fields["infomdate"] == 1
+    assert frames.inject_skip(f, b"\x01\x0e", buf, [50, 90, 110, 130, 150, 170], 60) is None and frames.inject_skip(f, b"", buf, [70] * 6, 60) is None
 
 
 def test_jobs(spark):
@@ -191,9 +192,115 @@ def test_streaming(spark, tmp_path):
 
 
 def test_allocation():
+    t = allocation.standard_tables()
     assert allocation.ungroup(10, [62, 0], 1) == [10, 10, 10, 8, 6, 4]
-    assert allocation.mantissa_bits([1, 1, 1, 2, 4, 4, 3], (0, 0, 0, 3, 0, 4)) == (5 + 7 + 7 + 3, (0, 1, 0))
+    assert allocation.mantissa_bits([1, 1, 1, 2, 4, 4, 3], (0, 0, 0, 3, 0, 4)) == (3, (0, 1, 0))
+    assert allocation.mantissa_bits([1, 1, 1, 2, 4, 4, 3]) == (5 + 7 + 7 + 3, (0, 1, 0))
+    assert allocation.mantissa_bits([1, 1, 2, 4, 15], carried=(2, 0, 1)) == (5 + 7 + 0 + 16, (1, 1, 0))
     assert allocation.log_add(100, 100, (64, 0)) == 164 and allocation.low_compensation(0, 0, 256, 3) == 384
-    t = allocation.Tables((64,) * 3 + (0,) * 253, tuple(range(50)), tuple(range(50)), ((0,) * 50,) * 3, tuple(min(15, k // 4) for k in range(64)), tuple(range(16)), 64, 10, 100, 0)
-    assert all(0 <= p <= 15 for p in allocation.allocate([5] * 20, 0, 500, 0, 0, t))
+    assert (t.log_add[:3], t.log_add[209:211]) == ((64, 63, 62), (1, 0)) and len(t.band_of_bin) == 253 and [len(h) for h in t.hearing] == [50] * 3 and len(t.pointer) == 64
+    assert allocation.frame_strategies(0) == [1, 0, 0, 0, 0, 0] and allocation.frame_strategies(8) == [2, 0, 1, 0, 0, 0] and allocation.frame_strategies(31) == [3] * 6
+    assert [allocation.groups_of(76, s) for s in (1, 2, 3)] == [25, 13, 7] and allocation.groups_of(7, 1) == 2
     assert math.isclose(mixing.solve(np.eye(5), np.ones(5))[0, 0], 1 / 1.001, rel_tol=1e-3)
+
+
+def test_excitation_by_hand():
+    """Flat bands: the first rise is at band 2, from band 3 on both decays run; silence lies below the hearing threshold."""
+    t = allocation.standard_tables()
+    flat = [3072 - (4 << 7)] * 39
+    e = allocation.excitation(flat, t)
+    assert e[:3] == [flat[0] - 0x280] * 3 and e[3:] == [flat[0] - 0x280] * 36
+    falling = [3000 - 300 * k for k in range(7)]
+    comp = 0
+    for b, got in enumerate(allocation.excitation(falling, t)):
+        assert got == falling[b] - 0x280 - comp
+    drop = [3000] * 4 + [0] * 35
+    assert allocation.excitation(drop, t)[4] == max(3000 - 0x280 - 0x53, 3000 - 0x4D8 - 0x13)
+    assert set(allocation.allocate([24] * 73, 0, 0, t)) == {0} and set(allocation.allocate([0] * 73, 960, 0, t)) != {0}
+    rise = [1000, 1256] + [1000] * 5
+    assert allocation.excitation(rise, t)[0] == 1000 - 0x280 - 384
+
+
+def core(seed, strategy_codes=(8, 0, 31, 21, 2), flagged=False, csnr=9, junk=0, width=20):
+    """A frame of six blocks of random exponents and mantissas, and its skip points, written field by field."""
+    rng = np.random.default_rng(seed)
+    t = allocation.standard_tables()
+    bit = lambda n: int(rng.integers(0, 1 << n))
+    w = bits.BitWriter().write(0x0B77, 16).write(0, 5).write(0, 11).write(0, 2).write(3, 2).write(7, 3).write(1, 1).write(16, 5)
+    w.write(20, 5).write(0, 4)  # loudness; no compression, mixing, information or additional data
+    w.write(0, 5).write(1, 1).write(0, 1).write(0, 1).write(0, 1).write(0, 1).write(int(flagged), 1).write(0, 1)  # block switches on
+    w.write(0, 6)
+    for c in strategy_codes:
+        w.write(c, 5)
+    w.write(0b100100, 6).write(bit(25), 25).write(csnr, 6).write(3 if csnr else 0, 4).write(0, 1)
+    points, exps, low = [], [None] * 5, None
+    strategies = [allocation.frame_strategies(c) for c in strategy_codes]
+    for k in range(6):
+        w.write(bit(5), 5).write(1, 1).write(bit(8), 8)
+        w.write(0, 1)  # spectral extension: not in use (first block), no new strategy (others)
+        new = [ch for ch in range(5) if strategies[ch][k]]
+        for _ in new:
+            w.write(width, 6)
+        end = 3 * (width + 12) + 37
+        for ch in new:
+            step = {1: 1, 2: 2, 3: 4}[strategies[ch][k]]
+            first, groups = 8, [int(rng.choice([62, 37, 87])) for _ in range(math.ceil((end - 1) / 3 / step))]
+            w.write(first, 4)
+            for g in groups:
+                w.write(g, 7)
+            w.write(bit(2), 2)
+            exps[ch] = [first, *allocation.ungroup(first, groups, step)][:end]
+        if k in (0, 3):
+            w.write(6, 4).write(62, 7).write(62, 7)
+            low = [6] * 7
+        w.write(k % 2, 1)
+        if k % 2:
+            w.write(bit(10), 10)
+        points.append(w.size)
+        if flagged:
+            w.write(int(k == 1), 1)
+            if k == 1:
+                w.write(3, 9).write(bit(24), 24)
+        sizes = []
+        for e in [*exps, low] if csnr else []:  # no offsets, no mantissas
+            sizes += allocation.allocate(e, ((csnr - 15) * 16 + 3) * 4, 0, t)
+        n = sum(5 * (-(-sizes.count(1) // 3)) if p == 1 else 7 * (-(-sizes.count(2) // 3)) if p == 2 else 7 * (-(-sizes.count(4) // 2)) if p == 4 else sizes.count(p) * b for p, b in enumerate(t.mantissa_bits))
+        for _ in range(n // 16):
+            w.write(bit(16), 16)
+        w.write(0, n % 16)
+    end_bit = w.size
+    size = 2 * math.ceil((end_bit + 18) / 16) + junk
+    return frames.sealed(w.write(0, 8 * size - w.size).bytes()), points, end_bit
+
+
+@pytest.mark.parametrize("seed,flagged,width,csnr", [(1, False, 20, 9), (2, True, 20, 9), (3, False, 7, 12), (4, False, 48, 6), (5, False, 20, 0)])
+def test_block_walk(seed, flagged, width, csnr):
+    f, points, end = core(seed, flagged=flagged, width=width, csnr=csnr)
+    seen = blocks.walk(f)
+    assert (seen.unsupported, seen.points, seen.end_bit, seen.flagged) == (None, points, end, flagged)
+
+
+def test_block_walk_refuses_and_carries():
+    f, points, end = core(7)
+    buf = codecs.wrap([(11, b"abc"), (14, b"d")])
+    new, how = blocks.carry(f, b"\x01\x0e", buf)
+    after = blocks.walk(new)
+    assert how == "skip" and codecs.find(new)[1] == buf and frames.extension(new) == (True, 14) and frames.header(new).size == len(new)
+    # an information block of nine bits, and a length of six and two bytes of additional information
+    assert after.unsupported is None and after.flagged and after.points[0] == points[0] + 9 + 6 + 16
+    assert after.end_bit == end + 9 + 6 + 16 + 6 + 9 + 8 * len(buf)
+    assert bits.get_bits(new, after.points[5] + 1, end - points[5]) == bits.get_bits(f, points[5], end - points[5])
+    assert blocks.carry(new, b"\x01\x0e", buf)[1] == "aux only" and blocks.carry(core(7, flagged=True)[0], b"\x01\x0e", buf)[1] == "aux"
+    assert blocks.walk(f[:200] + f[-2:]).unsupported == "length" and blocks.walk(frames.synthetic(64)).unsupported and blocks.walk(f[:60]).unsupported
+    assert blocks.carry(f, b"\x01\x0e", b"x" * 600)[1] == "aux" and blocks.carry(head(4096), b"\x01\x0e", buf) is None
+
+
+def test_walk_job(spark):
+    made = [core(s) for s in range(4)]
+    t = spark.createDataFrame([("s", k, f) for k, (f, _, _) in enumerate(made)] + [("s", 4, frames.synthetic(64))], "stream_id string, frame_idx long, bytes binary")
+    got = {r["frame_idx"]: r for r in jobs.walk_blocks(t).collect()}
+    assert all(got[k]["skip_points"] == p and got[k]["end_bit"] == e for k, (_, p, e) in enumerate(made))
+    assert got[4]["unsupported_reason"] and got[4]["exact"] is None and all(got[k]["exact"] == (e == 8 * len(f) - 18) for k, (f, _, e) in enumerate(made))
+    ev = spark.createDataFrame([(0, 1, 0, True, [0.0, 1.0, 0.0])], events.EVENT)
+    full = jobs.inject_all(t, jobs.frame_objects(jobs.starts_of(t), ev, [1]), spark.createDataFrame([(0, [])], "frame_idx long, rows array<struct<d:array<double>,p:double>>"), codecs.own_trees())
+    assert [r["carriage"] for r in full.orderBy("frame_idx").collect()] == ["skip"] * 4 + ["aux only"] and full.where("ok").count() == 5
