@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import spans, table
+from framewright.llm.common import group_sums, spans, table
 
-#: Words of a passage and the step between passages.
-PASSAGE, STEP = 64, 32
+#: The step between passages, in words, and the words of a passage.
+STEP = 32
+PASSAGE = 2 * STEP
 RANK, OVERSAMPLE, POWER = 128, 16, 2
-#: Terms at most, and passages that the latent space is fitted on beside the items, in expectation.
+#: Distinct words of the items of an index at most (items with more are halved until they fit), and passages that the
+#: latent space is fitted on beside the items, in expectation.
 MAX_TERMS, FIT_PASSAGES = 65_536, 4_000
 #: Terms in more than this share of passages carry no weight.
 COMMON = 0.02
@@ -35,6 +37,8 @@ SHARED = 0.4
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 5
 #: Items that are held against the documents in one pass.
 ITEMS = 50_000
+#: Cosines that are held at a time.
+CELLS = 1 << 22
 WORDS = re.compile(r"\w+")
 
 
@@ -78,17 +82,22 @@ class Index:
         """Of all texts: which text each passage with terms is of, its first word, its unit vector and its terms."""
         first, at, term = coded(split, self.terms)
         size = np.diff(first)
-        owner, k = spans(np.where(size > 0, np.maximum(1, -(-(size - STEP) // STEP)), 0))
+        strides = -(-size // STEP)  # a passage is two strides; a text of one stride is a passage
+        text, nth = spans(strides)
+        edge = np.searchsorted(at, np.r_[first[text] + nth * STEP, first[-1]])
+        sums = np.zeros((len(text), self.vectors.shape[1]), dtype=np.float32)
+        for a in range(0, len(text), 4096):  # bounded, however long a text is
+            cut = edge[a : a + 4097]
+            sums[a : a + 4096] = group_sums(self.vectors[term[cut[0] : cut[-1]]], np.diff(cut))
+        owner, k = spans(np.where(size > 0, np.maximum(1, strides - 1), 0))
         begin = first[owner] + k * STEP
-        lo, hi = np.searchsorted(at, begin), np.searchsorted(at, np.minimum(begin + PASSAGE, first[owner + 1]))
+        stride = (np.cumsum(strides) - strides)[owner] + k
+        more = (strides[owner] > k + 1).astype(np.int64)
+        lo, hi = edge[stride], edge[stride + 1 + more]
         some = hi > lo
-        owner, begin, lo, hi = owner[some], begin[some], lo[some], hi[some]
-        out = np.zeros((len(begin), self.vectors.shape[1]), dtype=np.float32)
-        for a in range(0, len(begin), 2048):  # bounded, however long a text is
-            b = min(len(begin), a + 2048)
-            run = np.zeros((hi[b - 1] - lo[a] + 1, out.shape[1]))
-            np.cumsum(self.vectors[term[lo[a] : hi[b - 1]]], axis=0, out=run[1:])
-            out[a:b] = run[hi[a:b] - lo[a]] - run[lo[a:b] - lo[a]]
+        owner, begin, stride, more, lo, hi = owner[some], begin[some], stride[some], more[some], lo[some], hi[some]
+        out = sums[stride]
+        out[more > 0] += sums[stride[more > 0] + 1]
         length = np.sqrt(np.einsum("ij,ij->i", out, out))
         ok = np.flatnonzero(length > 1e-6)
         return owner[ok], begin[ok] - first[owner[ok]], out[ok] / length[ok][:, None], [term[lo[i] : hi[i]] for i in ok]
@@ -100,8 +109,9 @@ class Index:
             split = [words_of(t) for t in texts[lo : lo + 200]]
             owner, start, vec, terms = self.passages(split)
             best: dict[tuple[int, int], tuple] = {}
-            for a in range(0, len(vec), 4096):
-                cos = vec[a : a + 4096] @ self.items.T
+            step = max(16, min(4096, CELLS // len(self.items)))
+            for a in range(0, len(vec), step):
+                cos = vec[a : a + step] @ self.items.T
                 for r, i in zip(*np.nonzero(cos >= COSINE), strict=True):
                     have = self.sets[i]
                     if len(have.intersection(terms[a + r].tolist())) < SHARED * len(have) * min(1.0, PASSAGE / len(self.words[i])):
@@ -195,11 +205,7 @@ def index(docs: DataFrame, items: list[tuple[int | None, str]]) -> Index | None:
     spark = docs.sparkSession
     ids, words = [i for i, _ in items], [words_of(t) for _, t in items]
     ids, words = [i for i, w in zip(ids, words, strict=True) if w], [w for w in words if w]
-    counts: dict[str, int] = {}
-    for ws in words:
-        for w in ws:
-            counts[w] = counts.get(w, 0) + 1
-    named = sorted(counts, key=lambda w: (counts[w], w))[:MAX_TERMS]  # the rarest say most
+    named = sorted(set(chain.from_iterable(words)))
     if not named:
         return None
     terms = {w: k for k, w in enumerate(named)}
@@ -255,10 +261,18 @@ def indices(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
     out = []
     for k in range(slices):
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        out.append(index(docs, [(r["item_id"], r["text"]) for r in part.collect()]))
+        out += [index(docs, own) for own in _fitting([(r["item_id"], r["text"]) for r in part.collect()])]
     return [x for x in out if x is not None]
 
 
+def _fitting(items: list[tuple[int | None, str]]) -> list[list[tuple[int | None, str]]]:
+    """The items in runs of MAX_TERMS distinct words or fewer, or of one item."""
+    if len(items) < 2 or len(set(chain.from_iterable(words_of(t) for _, t in items))) <= MAX_TERMS:
+        return [items]
+    half = len(items) // 2
+    return _fitting(items[:half]) + _fitting(items[half:])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, cosine, overlap, answer, first_word, n_words)``: one row per document row and item that it holds.
 

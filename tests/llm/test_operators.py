@@ -238,7 +238,7 @@ def test_pii(spark, docs, none, rows):
     assert len(set(new)) == len(cards) and [pii.luhn(c) for c in cards] == [pii.luhn(c) for c in new]
 
 
-def test_decontamination(spark, docs, none):
+def test_decontamination(spark, docs, none, monkeypatch):
     rng = random.Random(9)
     items = [(i, text(rng, 40)) for i in range(20)]
     rows = [(0, text(rng, 100)), (1, text(rng, 80) + " " + items[3][1] + " " + text(rng, 90)), (2, items[5][1].upper()), (3, None), (4, ""), (None, text(rng, 50)), (5, text(rng, 30) + " " + " ".join(w for k, w in enumerate(items[7][1].split()) if k % 6 != 1))]
@@ -247,6 +247,11 @@ def test_decontamination(spark, docs, none):
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, b).collect()}
     assert got == {(1, 3), (2, 5), (5, 7)}
     assert {r["doc_id"] for r in decontam.clean(d, b).collect()} == {0, 3, 4, None}
+    assert [len(p) for p in decontam._fitting(items)] == [20]
+    monkeypatch.setattr(decontam, "MAX_TERMS", 150)  # two indices or more: the same rows
+    assert len(decontam._fitting(items)) > 1 and sum(decontam._fitting(items), []) == items
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, b).collect()} == {(1, 3), (2, 5), (5, 7)}
+    monkeypatch.undo()
     assert decontam.contaminated(docs, b.limit(0)).count() == 0 and decontam.contaminated(none, b).count() == 0
     assert decontam.clean(docs, b.limit(0)).count() == docs.count()
     for _ in range(50):
