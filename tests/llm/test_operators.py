@@ -111,6 +111,15 @@ def test_pitman_yor(docs, none, rows):
     assert abs(t.mean() - want) < 1.0
 
 
+def test_pitman_yor_blocks(docs):
+    whole = sorted(map(repr, pitman_yor.scored(docs).drop("score").collect()))
+    cut = pitman_yor.scored(docs, most=(7, 2_000))
+    assert sorted(map(repr, cut.drop("score").collect())) == whole and cut.where("score < 0").count() == len(whole)
+    runs, raw = pitman_yor.Runs(7, 2_000), [b"x" * n for n in (900, 900, 900, 5_000, 1, 1, 1, 1, 1, 1, 1, 1)]
+    batch = pitman_yor.pa.RecordBatch.from_pydict({"row": list(range(10, 22)), "raw": raw})
+    assert runs.of(batch).tolist() == [10, 10, 12, 13, *[14] * 7, 21]
+
+
 def test_mixing(spark, docs, none, rows):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
