@@ -280,7 +280,12 @@ def first_of_each(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     Rows that share an id with the one that stays are repeats of it and go, too; rows without an id stay if no
     member of their group has one, once per group.
     """
-    keep = grouped(docs, k).groupBy("component_id").agg(F.min("doc_id").alias("_keep"))
+    return lowest(docs, grouped(docs, k))
+
+
+def lowest(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, by the ``component_id`` of their ids."""
+    keep = groups.groupBy("component_id").agg(F.min("doc_id").alias("_keep"))
     kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
     return kept.dropDuplicates(["doc_id"])
 

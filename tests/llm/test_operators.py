@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from framewright.llm import decontam, embeddings, html, langid, mixing, passages, pii, pitman_yor, quality, simhash
+from framewright.llm import decontam, embeddings, html, langid, mixing, passages, pii, pitman_yor, quality, shingles, simhash
 from framewright.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -203,6 +203,30 @@ def test_simhash_blocks(spark, monkeypatch):
     assert len(set(got.values())) == 2 and len(got) == len(fps)
 
 
+def test_shingles(spark, docs, none, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for i in range(40):  # 200 words of which 3 differ: Jaccard about 0.86 of five-word shingles
+        w = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        rows.append((2 * i, " ".join(w)))
+        for at in rng.sample(range(0, 200, 10), 3 if i % 2 else 12):
+            w[at] = "other"
+        rows.append((2 * i + 1, " ".join(w)))
+    rows += [(100, None), (101, ""), (None, rows[0][1]), (102, rows[0][1]), (103, "a b"), (104, "A  b")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [set(s.tolist()) for s in shingles.shingle_sets([(t or "").encode() for _, t in rows])]
+    near = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[0:80:2], sets[1:80:2], strict=True)]
+    assert near == [bool(i % 2) for i in range(40)]
+    want = {i for i in range(80) if not (i % 4 == 3)} | {100, 103}
+    for block in (4000, 2):
+        monkeypatch.setattr(shingles, "BLOCK", block)
+        assert {r["doc_id"] for r in shingles.first_of_each(d).collect()} == want
+    assert len({r["doc_id"] for r in simhash.first_of_each(d, 5).collect()} & set(range(3, 80, 4))) > 10  # what 4 bits leave
+    assert shingles.first_of_each(docs).columns == docs.columns and shingles.grouped(none).count() == 0
+    many = [np.unique(np.array(s)) for s in ([1, 2, 3, 4, 5, 6, 7, 8, 9], [20, 21], [1, 2, 3, 4, 5, 6, 7, 8, 9, 10], [2, 3, 4, 5, 6, 7, 8, 9, 10, 11])]
+    assert sorted(sorted(p) for p in shingles.spanning(many)) == [[0, 2], [2, 3]]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 64))
