@@ -4,12 +4,14 @@ Terms are the words of the benchmark; their document frequencies come from the p
 distributed randomised SVD of the TF-IDF rows (all items, and a bounded sample of passages) gives the
 latent space. Every passage of every document is a query: items with enough cosine are candidates, which are
 checked by the longest common subsequence of words and, for looser paraphrases, by whether the item's answer
-(its last words) is there. Documents are scanned in place; nothing of them is shuffled.
+(its last words) is there. Items of common words, as of a passage that many documents hold, have little or nothing in that
+space: they are checked wherever enough of their words, common ones too, are close together. Documents are scanned in place; nothing of them is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
@@ -28,8 +30,9 @@ RANK, OVERSAMPLE, POWER = 128, 16, 2
 #: Distinct words of the items of an index at most (items with more are halved until they fit), and passages that the
 #: latent space is fitted on beside the items, in expectation.
 MAX_TERMS, FIT_PASSAGES = 65_536, 4_000
-#: Terms in more than this share of passages carry no weight.
-COMMON = 0.02
+#: Terms in more than this share of passages have no part in the latent space. Items that keep fewer than LEAST distinct
+#: terms, or less than KEPT of theirs, are also searched for word by word.
+COMMON, LEAST, KEPT = 0.02, 8, 0.4
 COSINE = 0.4
 #: Share of an item's terms (of those that fit a passage) that a candidate's passage must have.
 SHARED = 0.4
@@ -61,6 +64,12 @@ def lcs(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
+def alike(a: list[str], b: list[str]) -> float:
+    """Cosine of the word counts of two texts."""
+    x, y = Counter(a), Counter(b)
+    return float(sum(n * y[w] for w, n in x.items()) / np.sqrt(float(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))))
+
+
 def coded(split: list[list[str]], terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each text begins in the run of all words (and the end), and the places and numbers of the words that are terms."""
     first = np.cumsum([0, *map(len, split)])
@@ -77,6 +86,7 @@ class Index:
     ids: list[int | None]
     words: list[list[str]]
     sets: list[frozenset[int]]
+    weak: list[int]  # items that are also searched for word by word
 
     def passages(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Of all texts: which text each passage with terms is of, its first word, its unit vector and its terms."""
@@ -120,10 +130,34 @@ class Index:
                     got = self.check(split[o], int(start[a + r]), self.words[i])
                     if got and (best.get((o, i)) is None or got[0] > best[o, i][1]):
                         best[o, i] = (float(cos[r, i]), *got)
+            for o, i, at in self.dense(split):
+                got = self.check(split[o], at, self.words[i])
+                if got and (best.get((o, i)) is None or got[0] > best[o, i][1]):
+                    best[o, i] = (alike(self.words[i], split[o][got[2] : got[2] + got[3]]), *got)
             for (o, i), x in sorted(best.items()):
                 found[lo + o].append((self.ids[i], *x))
         return found
 
+    def dense(self, split: list[list[str]]) -> Iterator[tuple[int, int, int]]:
+        """(text, item, first word) of the places in all texts with enough words of a weak item for ``check``, common ones too."""
+        if not self.weak:
+            return
+        named = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(self.words[i] for i in self.weak)))}
+        first, at, code = coded(split, named)
+        for i in self.weak:
+            n = len(self.words[i])
+            own = np.zeros(len(named), dtype=bool)
+            own[[named[w] for w in self.words[i]]] = True
+            here = at[own[code]]  # the words of the item, in the run of all words
+            need = max(1, int(np.ceil(PARAPHRASE * n - 1e-9)))
+            if len(here) < need:
+                continue
+            a, b = here[: len(here) - need + 1], here[need - 1 :]
+            owner = np.searchsorted(first, a, side="right") - 1
+            ok = (b - a < n + n // 3 + 2) & (b < first[owner + 1])
+            for o, k in np.unique(np.stack([owner[ok], (a - first[owner])[ok] // STEP], axis=1), axis=0).tolist():
+                yield o, i, k * STEP
+
     @staticmethod
     def check(words: list[str], start: int, item: list[str]) -> tuple | None:
         """(overlap, answer, first word, words) of the best stretch around a passage, if it is a copy or a paraphrase."""
@@ -251,7 +285,9 @@ def index(docs: DataFrame, items: list[tuple[int | None, str]]) -> Index | None:
         if row:
             v = np.array(row[1]) @ basis[row[0]]
             unit[k] = v / max(1e-9, np.linalg.norm(v))
-    return Index(terms, vectors, unit, ids, words, [frozenset(terms[w] for w in ws if w in terms) for ws in words])
+    sets = [frozenset(terms[w] for w in ws if w in terms) for ws in words]
+    weak = [k for k, (s, ws) in enumerate(zip(sets, words, strict=True)) if len(s) < min(LEAST, len(set(ws))) or len(s) < KEPT * len(set(ws))]
+    return Index(terms, vectors, unit, ids, words, sets, weak)
 
 
 def indices(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
@@ -277,7 +313,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, cosine, overlap, answer, first_word, n_words)``: one row per document row and item that it holds.
 
     Null, empty and wordless texts and items match nothing; ids may be null; rows that repeat match alike; words are
-    runs of letters and digits in lower case. Other columns are ignored. No items, no rows.
+    runs of letters and digits in lower case. The cosine is that of the latent space, or of word counts where only the
+    words led to the item. Other columns are ignored. No items, no rows.
     """
     schema = "doc_id long, item_id long, cosine double, overlap double, answer boolean, first_word long, n_words long"
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -296,6 +296,22 @@ def test_decontamination(spark, docs, none, monkeypatch):
         assert decontam.lcs(x, y) == t[-1, -1]
 
 
+def test_decontamination_of_frequent_items(spark):
+    """An item that a third of all documents hold, and items in three documents of a small table."""
+    rng = random.Random(4)
+    fresh = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    items = [(i, fresh(30)) for i in range(6)]
+    for n, times in ((300, 100), (12, 3)):
+        held = {k: 2 for k in range(times)}
+        rows = [(k, fresh(60) + " " + items[2][1] + " " + fresh(40)) if k in held else (k, fresh(100)) for k in range(n)]
+        rows.append((n, " ".join(w for k, w in enumerate(items[2][1].split()) if k % 6 != 1)))
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        b = spark.createDataFrame(items, "item_id long, text string")
+        got = decontam.contaminated(d, b).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == {*held.items(), (n, 2)} and all(0.4 <= r["cosine"] <= 1.0001 for r in got)
+        assert {r["doc_id"] for r in decontam.clean(d, b).collect()} == set(range(times, n))
+
+
 def test_passages(spark, docs, none):
     got = [r for r in passages.repeated(docs).collect()]
     by = {r["doc_id"]: r for r in got}
