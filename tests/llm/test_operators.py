@@ -271,6 +271,23 @@ def test_pii(spark, docs, none, rows):
     assert len(set(new)) == len(cards) and [pii.luhn(c) for c in cards] == [pii.luhn(c) for c in new]
 
 
+def test_pii_leaves_no_name():
+    for size in (2, 3, 8, 24, 1000):
+        got = [pii.permute(i, size, b"k", b"t") for i in range(size)]
+        assert sorted(got) == list(range(size)) and all(a != b for a, b in enumerate(got))
+    for (script, _), names in pii.NAMES.items():
+        for given in names:
+            for family in pii.SURNAMES[script]:
+                new = pii.surrogate("person", f"{given} {family}").split()
+                assert new[0] != given and new[1] != family
+    short = [a + b for a in "ABCDEÖЁ" for b in ("a", "o", "ø", "ё", "å")]
+    assert all(pii.surrogate("person", f"Mr {n}") != f"Mr {n}" for n in short)
+    for text, left in (("met Anna Kowalska today", "Kowalska"), ("Anna Maria Kowalska", "Kowalska"), ("Иван Чехов", "Чехов"), ("Mr Brown", "Brown"), ("Carmen López", "López")):
+        new, said = pii.replaced(text)
+        assert [k for k, _, _ in said] == ["person"] and left not in new
+    assert pii.entities("Anna went home") == [] and pii.entities("a Kowalska") == []
+
+
 def test_decontamination(spark, docs, none, monkeypatch):
     rng = random.Random(9)
     items = [(i, text(rng, 40)) for i in range(20)]
