@@ -339,6 +339,19 @@ def test_passages(spark, docs, none):
     assert passages.chain(at, at2)[0][:4] == (0, 35, 100, 135)
 
 
+def test_passages_two_in_a_chain(spark):
+    """Two copies with unrelated words between them, which one chain spans."""
+    fresh = lambda n, k=itertools.count(): " ".join(f"w{next(k)}" for _ in range(n))
+    rows, want = [], set()
+    for i, between in enumerate((40, 60, 100)):
+        one, two = fresh(60), fresh(60)
+        for d in (2 * i, 2 * i + 1):
+            rows.append((d, " ".join([fresh(20), one, fresh(between), two, fresh(20)])))
+        want |= {(2 * i + 1, 20, 60, 2 * i, 1.0), (2 * i + 1, 80 + between, 60, 2 * i, 1.0)}
+    got = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["first_word"], r["n_words"], r["of_doc_id"], r["similarity"]) for r in got} == want
+
+
 def test_html(spark):
     page = "<html><head><title>x</title></head><body><nav><a href='/'>Home</a></nav><div class='ad'>Buy</div><article><h1>T &amp; U</h1><p>One, two,\n three <b>four</b><p>Five.<script>a()</script></article><div id='comments'><p>Nice, very nice, thanks, all!</p></div><footer>&copy; me</footer>"
     assert html.extract(page) == "T & U One, two, three four Five."
