@@ -29,6 +29,8 @@ def scratch(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='framewright-')}"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -68,6 +70,45 @@ def crc_mod(c: str, n: int):
     return F.crc32(id_text(c).cast("binary")) % F.lit(n)
 
 
+#: Slots of 64 bits of a filter of keys: 1 MB, whatever the number of keys.
+SLOTS = 1 << 17
+
+
+def filter_of(keys: DataFrame, *columns: str) -> DataFrame:
+    """``(slot, bits)``: a one-hash filter of the keys. It has SLOTS rows at most, so it may be broadcast at any size; full, it lets all rows pass."""
+    place = f"xxhash64({', '.join(columns)}, 3)"
+    return keys.groupBy(F.expr(f"pmod({place}, {SLOTS})").alias("slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(shiftright({place}, 20), 64) as int))")).alias("bits"))
+
+
+def maybe(rows: DataFrame, bits: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with ``maybe``: false only for rows whose key is not in the filter."""
+    place = f"xxhash64({', '.join(columns)}, 3)"
+    marked = rows.join(F.broadcast(bits), F.expr(f"pmod({place}, {SLOTS})") == F.col("slot"), "left")
+    return marked.withColumn("maybe", F.expr(f"bits is not null and getbit(bits, cast(pmod(shiftright({place}, 20), 64) as int)) = 1")).drop("slot", "bits")
+
+
+def text_key(text: str = "text") -> list:
+    """128 bits of a text (null is a text of its own)."""
+    return [F.xxhash64(F.col(text).cast("binary")).alias("h"), F.xxhash64(F.lit(7), F.col(text).cast("binary")).alias("g")]
+
+
+def one_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of one document per group: that with the smallest id, null last.
+
+    ``rows`` has ``(doc_id, h, g, root)`` for each row of ``docs``: its id, ``text_key`` and group. Members that share the smallest id
+    are told apart by the hashes of their texts, rows that also share the text by the hash of all their columns; one stays. The
+    decision is made on narrow rows; only texts that may go (by a filter of fixed size) are shuffled.
+    """
+    per = rows.groupBy("doc_id", "h", "g", "root").agg(F.count("*").alias("n"))
+    best = per.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "g")).alias("best"))
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h")) & (F.col("g") == F.col("best.g"))
+    odd = written(per.join(best, "root").select(F.col("doc_id").alias("o"), F.col("h").alias("oh"), F.col("g").alias("og"), "n", kept.alias("stays")).where("not stays or n > 1"), "odd")
+    keyed = maybe(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("i"), *text_key()), filter_of(odd, "o", "oh"), "i", "h")
+    same = F.col("i").eqNullSafe(F.col("o")) & (F.col("h") == F.col("oh")) & (F.col("g") == F.col("og"))
+    held = keyed.where("maybe").join(odd, same, "left").where("stays is null or stays")
+    held = held.groupBy("i", "h", "g").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return keyed.where("not maybe").select("row.*").unionByName(held.select("row.*"))
+
 
 def spans(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For ragged groups of the given sizes: each element's group, and its place in the group."""

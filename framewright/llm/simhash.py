@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import components, dropped, group_sums, spans, table, written
+from framewright.llm.common import components, dropped, group_sums, one_each, spans, table, text_key, written
 
 SHINGLE = 4
 DISTANCE = 4
@@ -81,15 +81,15 @@ def fingerprints(texts: list[bytes | None], k: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprinted(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` per row of ``docs``, fp as a signed long."""
+    """``(doc_id, h, g, fp)`` per row of ``docs``: ``text_key``, and fp as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, len(b), 1000):
                 part = b.slice(lo, 1000)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(part.column("raw").to_pylist(), k).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "h", "g")), pa.array(fingerprints(part.column("raw").to_pylist(), k).view(np.int64))], names=["doc_id", "h", "g", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), *text_key(), F.col("text").cast("binary").alias("raw")).mapInArrow(run, "doc_id long, h long, g long, fp long")
 
 
 # -- the covering code ----------------------------------------------------------------------------
@@ -257,37 +257,33 @@ def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(((half << 18) | ((g >> 11) << 6) | ((h >> 3) << 2) | p).astype(np.int32))], names=["anchor"])
 
 
-def grouped(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp, component_id)`` per row of ``docs``.
-
-    Null and empty texts have fingerprint 0 and link like any other; a null id is a row of its own group's members
-    but never a component's id unless the whole component has none. Rows that repeat get equal results.
-    """
+def _grouped(docs: DataFrame, k: int) -> DataFrame:
+    """``(doc_id, h, g, fp, component_id, root)``: ``text_key`` and the group, too."""
     rows = written(fingerprinted(docs, k), "fingerprints")
     points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "points")
     found = components(links(points.select("fp")))
     named = points.join(found, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     named = written(named, "roots")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = written(named.join(lowest, "root").select("fp", "component_id"), "by-fp")
-    dropped(points)
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = written(named.join(lowest, "root").select("fp", "component_id", "root"), "by-fp")
+    for old in (points, named):
+        dropped(old)
+    return rows.join(by_fp, "fp").select("doc_id", "h", "g", "fp", "component_id", "root")
 
 
-def first_of_each(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of one document per group: that with the smallest id.
+def grouped(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """``(doc_id, fp, component_id)`` per row of ``docs``.
 
-    Rows that share an id with the one that stays are repeats of it and go, too; rows without an id stay if no
-    member of their group has one, once per group.
+    Null and empty texts have fingerprint 0 and link like any other; a null id is a row of its own group's members
+    but never a component's id unless the whole component has none. Rows that repeat get equal results. Texts are taken whole, however
+    long; other columns are ignored; no rows give no rows.
     """
-    return lowest(docs, grouped(docs, k))
+    return _grouped(docs, k).select("doc_id", "fp", "component_id")
 
 
-def lowest(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, by the ``component_id`` of their ids."""
-    keep = groups.groupBy("component_id").agg(F.min("doc_id").alias("_keep"))
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+def first_of_each(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of one document per group, as ``one_each`` chooses."""
+    return one_each(docs, _grouped(docs, k))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

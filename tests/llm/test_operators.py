@@ -180,6 +180,23 @@ def test_simhash(spark, docs, none, rows):
     assert simhash.grouped(none).count() == 0
 
 
+def test_first_of_each_by_row(spark):
+    """Rows without an id and unrelated rows with one id are documents of their own; equal rows are one."""
+    rng = random.Random(8)
+    rows = [(i, text(rng, 200)) for i in (None, None, None, None, None, 7, 7, 8)]
+    rows = [(i, t, "x", 1) for i, t in rows]
+    schema = "doc_id long, text string, _keep string, maybe int"
+    for stage in (simhash.first_of_each, shingles.first_of_each):
+        d = spark.createDataFrame(rows, schema)
+        kept = stage(d)
+        assert kept.columns == d.columns and Counter(kept.collect()) == Counter(d.collect())
+        more = [*rows, (9, rows[0][1], "y", 2), (3, rows[5][1], "y", 2), (None, rows[1][1], "y", 2), (8, rows[7][1], "x", 1), (8, rows[7][1], "a", 1), (20, None, "n", 0), (21, "", "n", 0), (None, None, "n", 0)]
+        got = [sorted(map(repr, stage(spark.createDataFrame(more, schema).repartition(n)).collect())) for n in (1, 4)]
+        assert got[0] == got[1]
+        kept = stage(spark.createDataFrame(more, schema)).collect()
+        assert len(kept) == 9 and {(r[0], r[1]) for r in kept} == {(9, rows[0][1]), (3, rows[5][1]), (7, rows[6][1]), (8, rows[7][1]), (20, None), *((None, r[1]) for r in rows[1:5])}
+
+
 def test_simhash_covering():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 500, dtype=np.int64).view(np.uint64)
