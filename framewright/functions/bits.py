@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import hmac
 from collections.abc import Sequence
 from functools import lru_cache
@@ -130,12 +131,18 @@ def flip_bit(data: bytes, pos: int) -> bytes:
 
 
 def sync_bits(data: bytes, sync: int, width: int = 16, aligned: bool = False):
-    """Bit places of a sync word, in order."""
-    value, total = int.from_bytes(data, "big"), 8 * len(data)
-    mask = (1 << width) - 1
-    for pos in range(0, total - width + 1, 8 if aligned else 1):
-        if value >> (total - width - pos) & mask == sync:
-            yield pos
+    """Bit places of a sync word of whole bytes, in order; the data are searched once for each of the eight shifts."""
+    word, whole = sync.to_bytes(width // 8, "big"), int.from_bytes(data, "big")
+
+    def places(shift: int):
+        moved = (whole << shift & ((1 << 8 * len(data)) - 1)).to_bytes(len(data), "big") if shift else data
+        at = moved.find(word)
+        while at >= 0:
+            if 8 * at + shift + width <= 8 * len(data):
+                yield 8 * at + shift
+            at = moved.find(word, at + 1)
+
+    yield from heapq.merge(*map(places, range(1 if aligned else 8)))
 
 
 def hex_bytes(text: str) -> bytes:

@@ -185,10 +185,9 @@ def encode_objects(objects: list[tuple[float, float, float]], lfe: bool) -> byte
             e.write(3, 2).write(1, 1)
             e.write(px, 6).write(py, 6).write(int(up), 1).write(pz, 4).write(0, 1).write(1, 4).write(0, 2).write(0, 1).write(0, 1)
         e.write(0, 1)
-    e.write(0, -(e.size + 1) % 8)
     w = BitWriter().write(0, 2).count5(total - 1)
     w.write(1, 1).write(int(lfe), 1).write(0, 1).write(1, 4)
-    w.write(1, 4).variable((e.size + 1) // 8 - 1, 4).write(0, 1).write(e.value, e.size)
+    w.write(1, 4).variable(e.size - 1, 4).write(0, 1).write(e.value, e.size)  # the size is in bits, less one
     return w.bytes()
 
 
@@ -215,8 +214,8 @@ def decode_objects(payload: bytes) -> dict:
     objects, pad = [], 0
     for _ in range(take("elements", 4)):
         kind = take("element_id", 4)
-        size = r.variable(4) + 1
-        end = r.pos + 8 * size
+        bits = r.variable(4, 5) + 1
+        end = r.pos + bits
         take("discard", 1)
         if kind != 1:
             r.pos = end
@@ -226,28 +225,34 @@ def decode_objects(payload: bytes) -> dict:
         for b in range(blocks):
             take("block_offset", 6, -1, b)
             if take("ramp", 2, -1, b) == 3:
-                take("ramp_duration", 11 if take("ramp_long", 1, -1, b) else 4, -1, b)
+                take("ramp_duration", 4 if take("ramp_short", 1, -1, b) else 11, -1, b)
         take("reserved_absent", 1)
         for o in range(total):
             for b in range(blocks):
                 objects.append(_object(r, take, o, b, o < bed))
-        pad = end - r.pos
+        pad = max(0, end - r.pos)
         r.pos = max(r.pos, min(end, r.size))
     return {"object_count": total, "bed_count": bed, "objects": objects, "fields": fields, "pad_bits": pad}
 
 
 def _object(r: BitReader, take, o: int, b: int, is_bed: bool) -> dict:
+    """One object in one block. Status 1 (always in the first block) brings all groups of fields, status 3 those of a mask before them."""
     out = {"obj": o, "block": b, "px": None, "py": None, "up": None, "pz": None, "is_bed": is_bed}
     f = lambda name, n: take(name, n, o, b)
-    inactive = f("inactive", 1)
-    status = 1 if b == 0 else (0 if inactive else f("basic_status", 2))
-    if not inactive and status in (1, 3):
-        if f("gain_idx", 2) == 2:
-            f("gain", 6)
-        if not f("default_priority", 1):
-            f("priority", 5)
-    status = 1 if b == 0 else (0 if inactive or is_bed else f("render_status", 2))
-    if not inactive and not is_bed and status in (1, 3):
+
+    def groups(name: str, n: int) -> int | None:
+        status = 1 if b == 0 else f(f"{name}_status", 2)
+        return f(f"{name}_mask", n) if status == 3 else (1 << n) - 1 if status == 1 else None
+
+    active = not f("inactive", 1)
+    basic = (groups("basic", 2) if active else None) or 0
+    if basic & 2 and f("gain_idx", 2) == 2:
+        f("gain", 6)
+    if basic & 1 and not f("default_priority", 1):
+        f("priority", 5)
+    given = groups("render", 4) if active and not is_bed else None
+    render = given or 0
+    if render & 1:
         if b > 0 and f("differential", 1):
             for n in ("dx", "dy", "dz"):
                 f(n, 3)
@@ -255,12 +260,15 @@ def _object(r: BitReader, take, o: int, b: int, is_bed: bool) -> dict:
             out |= {"px": f("x", 6), "py": f("y", 6), "up": f("z_up", 1) == 1, "pz": f("z", 4)}
         if f("distance", 1) and not f("infinite", 1):
             f("distance_factor", 4)
+    if render & 2:
         f("zone", 4)
+    if render & 4:
         size = f("size_idx", 2)
-        if size:
+        if size in (1, 2):
             f("size", 5 if size == 1 else 15)
-        if f("screen", 1):
-            f("screen_factor", 3), f("depth_factor", 2)
+    if render & 8 and f("screen", 1):
+        f("screen_factor", 3), f("depth_factor", 2)
+    if given is not None:
         f("snap", 1)
     if f("extra", 1):
         f("extra_bytes", 8 * (f("extra_size", 4) + 1))
@@ -361,8 +369,15 @@ def gains(obj: dict) -> list[list[list[float]]]:
 # -- Spark forms ----------------------------------------------------------------------------------
 
 
-def mapped(df: DataFrame, schema: str, row, *columns: str) -> DataFrame:
-    """Arrow map of a kernel over rows: ``row(*values)`` gives a list of tuples, one per output row."""
+def mapped(df: DataFrame, schema: str, row, *columns: str, streams: bool = False) -> DataFrame:
+    """Arrow map of a kernel over rows: ``row(*values)`` gives a list of tuples, one per output row.
+
+    ``streams`` puts the ``stream_id`` of a row, where there is one, before its output columns.
+    """
+    if streams and "stream_id" in df.columns:
+        one = row
+        schema, columns = f"stream_id string, {schema}", ("stream_id", *columns)
+        row = lambda sid, *values: [(sid, *x) for x in one(*values)]
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -383,7 +398,7 @@ def payloads(frames: DataFrame) -> DataFrame:
         got = find(data or b"")
         return [(idx, n, k, p) for n, (k, p) in enumerate(walk(got[1]).payloads)] if got else []
 
-    return mapped(frames, "frame_idx long, n int, id int, payload binary", row, "frame_idx", "bytes")
+    return mapped(frames, "frame_idx long, n int, id int, payload binary", row, "frame_idx", "bytes", streams=True)
 
 
 def positions(payload: DataFrame) -> DataFrame:
@@ -394,7 +409,7 @@ def positions(payload: DataFrame) -> DataFrame:
             return []
         return [(idx, o["obj"], o["px"], o["py"], o["up"], o["pz"], o["is_bed"]) for o in decode_objects(data)["objects"] if o["block"] == 0]
 
-    return mapped(payload, "frame_idx long, obj int, px int, py int, up boolean, pz int, is_bed boolean", row, "frame_idx", "id", "payload")
+    return mapped(payload, "frame_idx long, obj int, px int, py int, up boolean, pz int, is_bed boolean", row, "frame_idx", "id", "payload", streams=True)
 
 
 def oamd_fields(payload: DataFrame) -> DataFrame:
@@ -403,7 +418,7 @@ def oamd_fields(payload: DataFrame) -> DataFrame:
     def row(idx, kind, data):
         return [(idx, n, *f) for n, f in enumerate(decode_objects(data)["fields"])] if kind == OAMD_ID else []
 
-    return mapped(payload, "frame_idx long, n int, obj int, block int, field string, value decimal(38,0)", lambda *a: [(*x[:-1], Decimal(x[-1])) for x in row(*a)], "frame_idx", "id", "payload")
+    return mapped(payload, "frame_idx long, n int, obj int, block int, field string, value decimal(38,0)", lambda *a: [(*x[:-1], Decimal(x[-1])) for x in row(*a)], "frame_idx", "id", "payload", streams=True)
 
 
 def matrices(payload: DataFrame, trees: Trees) -> DataFrame:
@@ -417,7 +432,7 @@ def matrices(payload: DataFrame, trees: Trees) -> DataFrame:
             return [(idx, d["seq"], None, None, None, None, None, d["error"])]
         return [(idx, d["seq"], o, p, c, b, v, None) for o, x in enumerate(d["objects"]) if "matrix" in x for p, pt in enumerate(x["matrix"]) for c, ch in enumerate(pt) for b, v in enumerate(ch)]
 
-    return mapped(payload, "frame_idx long, seq int, obj int, dp int, ch int, band int, code int, error string", row, "frame_idx", "id", "payload")
+    return mapped(payload, "frame_idx long, seq int, obj int, dp int, ch int, band int, code int, error string", row, "frame_idx", "id", "payload", streams=True)
 
 
 def verified(frames: DataFrame, protector: Protector | None = None) -> DataFrame:
@@ -428,37 +443,48 @@ def verified(frames: DataFrame, protector: Protector | None = None) -> DataFrame
         v = verify(got[1], protector) if got else None
         return [(idx, got[0], v["prim_bits"], v["sec_bits"], v["key_id"], v["stored"], v["ours"], v["match"])] if v else []
 
-    return mapped(frames, "frame_idx long, bit int, prim_bits int, sec_bits int, key_id int, stored string, ours string, match boolean", row, "frame_idx", "bytes")
+    return mapped(frames, "frame_idx long, bit int, prim_bits int, sec_bits int, key_id int, stored string, ours string, match boolean", row, "frame_idx", "bytes", streams=True)
 
 
 def oamd_roundtrip(df: DataFrame) -> DataFrame:
+    """``(frame_idx, object_count, bed_count, px, py, up, pz)`` of positions ``(frame_idx, x, y, z)`` that were encoded, wrapped, found and decoded."""
+
     def row(idx, x, y, z):
-        objects = list(zip(x, y, z, strict=True))
-        c = walk(wrap([(OAMD_ID, encode_objects(objects, True))]))
+        c = walk(wrap([(OAMD_ID, encode_objects(list(zip(x, y, z, strict=True)), True))]))
         d = decode_objects(c.payloads[0][1])
-        got = [(o["px"], o["py"], o["up"], o["pz"]) for o in d["objects"] if not o["is_bed"]]
-        return [(idx, d["object_count"], d["bed_count"], got == [quantize(*o) for o in objects])]
+        got = [o for o in d["objects"] if not o["is_bed"]]
+        return [(idx, d["object_count"], d["bed_count"], *([o[c] for o in got] for c in ("px", "py", "up", "pz")))]
 
-    return mapped(df, "frame_idx long, object_count int, bed_count int, ok boolean", row, "frame_idx", "x", "y", "z")
+    return mapped(df, "frame_idx long, object_count int, bed_count int, px array<int>, py array<int>, up array<boolean>, pz array<int>", row, "frame_idx", "x", "y", "z")
+
+
+#: Bytes of a payload of ``emdf_roundtrip``; longer texts take several containers.
+PART = 16_000
 
 
 def emdf_roundtrip(df: DataFrame) -> DataFrame:
+    """``(frame_idx, n, bytes, payloads, ok)`` per container of four payloads for each PART bytes of ``(frame_idx, payload)``."""
+
     def row(idx, data):
-        buf = wrap([(11, data), (14, data[::-1]), (2, b"\x04\x94\x80"), (1, b"\x02\x00")])
-        c = walk(buf)
-        ok = [p for _, p in c.payloads] == [data, data[::-1], b"\x04\x94\x80", b"\x02\x00"] and verify(buf)["match"]
-        return [(idx, len(buf), len(c.payloads), ok)]
+        out = []
+        for n, at in enumerate(range(0, max(1, len(data)), PART)):
+            part = data[at : at + PART]
+            buf = wrap([(11, part), (14, part[::-1]), (2, b"\x04\x94\x80"), (1, b"\x02\x00")])
+            c = walk(buf)
+            ok = [p for _, p in c.payloads] == [part, part[::-1], b"\x04\x94\x80", b"\x02\x00"] and verify(buf)["match"]
+            out.append((idx, n, len(buf), len(c.payloads), ok))
+        return out
 
-    return mapped(df, "frame_idx long, bytes int, payloads int, ok boolean", row, "frame_idx", "payload")
+    return mapped(df, "frame_idx long, n int, bytes int, payloads int, ok boolean", row, "frame_idx", "payload")
 
 
 def joc_roundtrip(df: DataFrame, trees: Trees | None = None) -> DataFrame:
+    """``(frame_idx, seq, objects, codes)`` of gains ``(frame_idx, rows)`` that were encoded and decoded: gain codes by object and channel, null unless all bands agree."""
     trees = trees or own_trees()
 
-    def row(idx, x, y, z):
-        rows = [[a, b, c, a * b, b * c] for a, b, c in zip(x, y, z, strict=True)]
+    def row(idx, rows):
         d = decode_matrices(encode_matrices(rows, idx, trees), trees)
-        worst = max(abs(g - want) for o, r in zip(d["objects"], rows, strict=True) for ch, want in zip(gains(o)[0], r, strict=True) for g in ch)
-        return [(idx, d["seq"], len(d["objects"]), d["error"] is None and worst <= 0.05 + 1e-5)]
+        bands = [ch for o in d["objects"] for ch in gains(o)[0]]
+        return [(idx, d["seq"], len(d["objects"]), [round(b[0] / 0.1) + 96 if len(set(b)) == 1 else None for b in bands])]
 
-    return mapped(df, "frame_idx long, seq int, objects int, ok boolean", row, "frame_idx", "x", "y", "z")
+    return mapped(df, "frame_idx long, seq int, objects int, codes array<int>", row, "frame_idx", "rows")

@@ -384,7 +384,7 @@ def identity_check(df: DataFrame) -> DataFrame:
     """Streams made of the given bytes as junk and frames; pieces found at several chunk sizes, and whether they conserve the bytes."""
 
     def row(sid, fill):
-        data = b"\x01\x02\x03" + synthetic(8 + 2 * (len(fill) % 20)) + fill[:7] + synthetic(32, 0xCC) + synthetic(6, 0xBB) + b"\x0b\x77\x01"
+        data = b"\x01\x02\x03" + synthetic(8 + 2 * (len(fill) % 20)) + fill + synthetic(32, 0xCC) + synthetic(6, 0xBB) + b"\x0b\x77\x01"
         seen = [[x for x in scan(iter([data[i : i + k] for i in range(0, len(data), k)]))] for k in (5, 8, 13, 1024)]
         same = all(b"".join(p[2] for p in s) == data for s in seen) and len({tuple((o, x) for o, ok, x in s if ok) for s in seen}) == 1
         return [(str(sid), sum(1 for x in seen[0] if x[1]), len(data), same)]

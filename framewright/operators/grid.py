@@ -30,24 +30,40 @@ def monotonic(df: DataFrame, stream: str, seq: str, modulus: int) -> DataFrame:
     return df.select(stream, ok.alias("ok")).groupBy(stream).agg(F.min("ok").alias("monotonic"), F.count("*").alias("n"))
 
 
-def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Dense numbers from 0 in order, without one task for all: numbers within range partitions plus the rows of those before."""
-    spark = df.sparkSession
-    parts = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    local = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)
-    counts = {r["_p"]: r["n"] for r in local.groupBy("_p").agg(F.count("*").alias("n")).collect()}
-    before, rows = 0, []
-    for p in sorted(counts):
-        rows.append((p, before))
-        before += counts[p]
-    base = spark.createDataFrame(rows, "_p int, _b long")
-    return local.join(F.broadcast(base), "_p").select(*df.columns, (F.col("_b") + F.col("_i")).alias(name))
-
-
-def cycle_join(left: DataFrame, left_order: str, right: DataFrame, right_order: str) -> DataFrame:
-    """Row i of the left with row i mod n of the right, both in order. No right rows: no rows."""
-    r = numbered(right, right_order, "_j")
-    n = right.count()
-    if not n:
-        return left.join(right.limit(0), F.lit(True))
-    return numbered(left, left_order, "_i").withColumn("_j", F.pmod("_i", F.lit(n))).join(r, "_j").drop("_i", "_j")
+#: Rows of a bucket of ``numbered``, on the mean.
+BUCKET = 1 << 20
+
+
+def numbered(df: DataFrame, order: str, name: str, by: str | None = None, bucket: int = BUCKET) -> DataFrame:
+    """Dense numbers from 0 in the order of a numeric column (of each ``by``), without one task for all.
+
+    Buckets of equal width follow from the least and largest value and the number of rows, so a row's bucket is a function of its
+    value alone; its number is that within the bucket plus the rows of those before. Null values come first; ties are
+    numbered in any order.
+    """
+    at = F.col(order).cast("double")
+    seen = df.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("n")).first()
+    lo, width = seen["lo"] or 0.0, max(1e-9, ((seen["hi"] or 0.0) - (seen["lo"] or 0.0)) / max(1.0, seen["n"] / bucket))
+    part = [] if by is None else ["_s"]
+    rows = df.select(F.struct("*").alias("_r"), F.col(order).alias("_o"), F.coalesce(F.floor((at - lo) / width), F.lit(-1)).cast("long").alias("_p"), *([] if by is None else [F.col(by).alias("_s")]))
+    counts = rows.groupBy(*part, "_p").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*part).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(*(F.col(c).alias("_t") for c in part), F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
+    local = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*part, "_p").orderBy("_o")) - 1)
+    same = F.col("_p") == F.col("_q")
+    return local.join(base, same if by is None else same & F.col("_s").eqNullSafe(F.col("_t"))).select("_r.*", (F.col("_b") + F.col("_i")).alias(name))
+
+
+def cycle_join(left: DataFrame, left_order: str, right: DataFrame, right_order: str, by: str | None = None, how: str = "inner") -> DataFrame:
+    """Row i of the left with row i mod n of the right, both in order (of each ``by``, which the right loses). No right rows: no rows, or nulls with ``how="left"``."""
+    r = numbered(right, right_order, "_j", by)
+    rows = numbered(left, left_order, "_i", by)
+    if by is None:
+        rows = rows.withColumn("_n", F.lit(right.count()))
+    else:
+        r = r.withColumnRenamed(by, "_by")
+        n = r.groupBy(F.col("_by").alias("_y")).agg(F.count("*").alias("_n"))
+        rows = rows.join(n, F.col(by) == F.col("_y"), "left").drop("_y")
+    rows = rows.withColumn("_k", F.expr("pmod(_i, nullif(_n, 0))")).drop("_i", "_n")
+    same = F.col("_k") == F.col("_j")
+    return rows.join(r, same if by is None else same & (F.col(by) == F.col("_by")), how).drop("_k", "_j", "_by")

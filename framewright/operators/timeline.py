@@ -26,20 +26,22 @@ def keyframes(df: DataFrame, key: str, t: str, value: str, seq: str) -> DataFram
 def neighbours(grid: DataFrame, keys: DataFrame, key: str, t: str, value: str, seq: str) -> DataFrame:
     """For each grid row the last keyframe at or before it (ties: the latest in the list) and the first after it.
 
-    One sort of both sides by key and time; a keyframe at the same time as a grid point comes first.
+    Keyframes learn their successor among themselves; then one sort of both sides by key and time carries the latest pair
+    forward. A pair without a first half stands before a key's first frame. A keyframe at the time of a grid point comes first.
     """
-    k = keys.select(key, t, F.col(seq).alias("_seq"), F.struct(F.col(t).alias("t"), F.col(value).alias("v")).alias("_k"), F.lit(0).alias("_o"))
-    g = grid.withColumns({"_o": F.lit(1)})
-    both = g.unionByName(k, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(t, "_o", "_seq")
-    both = both.withColumns(
-        {
-            "_prev": F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "_next": F.first("_k", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
-        }
-    )
-    out = both.where("_o = 1")
-    return out.select(*grid.columns, F.col("_prev.t").alias("t0"), F.col("_prev.v").alias("v0"), F.col("_next.t").alias("t1"), F.col("_next.v").alias("v1"))
+    own = F.struct(F.col(t).alias("t"), F.col(value).alias("v"))
+    k = keys.select(F.col(key).alias("_id"), F.col(t).alias("_t"), F.col(seq).alias("_seq"), own.alias("_a"))
+    order = Window.partitionBy("_id").orderBy("_t", "_seq")
+    k = k.withColumns({"_b": F.lead("_a").over(order), "_new": F.lag("_a").over(order).isNull()})
+    none = F.lit(None)
+    pair = F.struct(F.col("_t").alias("t"), F.lit(0).alias("o"), "_seq", F.col("_a").alias("a"), F.col("_b").alias("b"))
+    head = F.struct(none.cast(keys.schema[t].dataType).alias("t"), F.lit(-1).alias("o"), "_seq", F.when(F.lit(False), F.col("_a")).alias("a"), F.col("_a").alias("b"))
+    k = k.select("_id", F.explode(F.when(F.col("_new"), F.array(head, pair)).otherwise(F.array(pair))).alias("_k"))
+    k = k.select(F.col("_id").alias(key), F.col("_k.t").alias(t), F.col("_k.o").alias("_o"), F.col("_k._seq").alias("_seq"), F.struct("_k.a", "_k.b").alias("_k"))
+    both = grid.withColumn("_o", F.lit(1)).unionByName(k, allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(F.col(t).asc_nulls_first(), "_o", "_seq").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_k", F.last("_k", ignorenulls=True).over(w)).where("_o = 1")
+    return out.select(*grid.columns, F.col("_k.a.t").alias("t0"), F.col("_k.a.v").alias("v0"), F.col("_k.b.t").alias("t1"), F.col("_k.b.v").alias("v1"))
 
 
 def _between(t: Column, t0: Column, t1: Column, v0: Column, v1: Column) -> Column:

@@ -104,7 +104,7 @@ def gram_matrix(spark, sf_dir):
 
 def _crc_sql(width: int, poly: int) -> str:
     mask = (1 << width) - 1
-    bits = "list_transform(range(0, 512), lambda i: (instr('0123456789ABCDEF', substr(h, (i // 4 + 1)::int, 1)) - 1) >> (3 - i % 4)::int & 1)"
+    bits = "list_transform(range(0, 4 * length(h)), lambda i: (instr('0123456789ABCDEF', substr(h, (i // 4 + 1)::int, 1)) - 1) >> (3 - i % 4)::int & 1)"
     return f"""SELECT item_id, list_reduce(list_prepend(0::bigint, list_transform({bits}, lambda b: b::bigint)),
         lambda c, b: xor((c << 1) & {mask}, CASE WHEN xor((c >> {width - 1}) & 1, b) = 1 THEN {poly}::bigint ELSE 0::bigint END))::bigint AS crc
         FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark)"""
@@ -112,7 +112,7 @@ def _crc_sql(width: int, poly: int) -> str:
 
 def _crc(width: int, poly: int):
     def run(spark, sf_dir):
-        b = _t(spark, sf_dir, "benchmark").select("item_id", F.substring(F.col("text").cast("binary"), 1, 64).alias("b"))
+        b = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").cast("binary").alias("b"))
         return b.select("item_id", C.crc_msb(F.col("b"), width, poly).alias("crc"))
 
     return run
@@ -130,7 +130,10 @@ _TREE = """WITH RECURSIVE t(node, bit, nxt) AS (SELECT * FROM (VALUES (0, 0, 1),
 @query(_TREE)
 def huffman_codes(spark, sf_dir):
     """C11: the code table of a decode tree."""
-    return spark.sql(_TREE)
+    from framewright.functions.bits import tree_codes
+
+    tree = [(1, 2), (-1, -2), (3, -3), (-4, 4), (-5, -6)]
+    return spark.createDataFrame([(sym, code, size) for sym, (code, size) in tree_codes(tree).items()], "sym int, code int, len int")
 
 
 @query("SELECT item_id, bin(text) AS bits FROM benchmark")
@@ -177,11 +180,11 @@ def frame_grid_start(spark, sf_dir):
     return grid.starts(e, "user_id", "event_id", "independent", "samples").select("event_id", "user_id", "start")
 
 
-@query(f"SELECT id, (t // {_STEP})::bigint AS bin, round(sum(value * value) / 1536, 6) AS power FROM ({_EV}) GROUP BY 1, 2")
+@query(f"SELECT id, (t // {_STEP})::bigint AS bin, round(sum(round(value * 100)::bigint * round(value * 100)::bigint)::double / 10000 / 1536, 6) AS power FROM ({_EV}) GROUP BY 1, 2")
 def bin_power(spark, sf_dir):
-    """Samples binned on a regular grid."""
-    e = grid.binned(_events(spark, sf_dir), "t", _STEP)
-    return e.groupBy("id", "bin").agg(F.round(F.sum(F.col("value") * F.col("value")) / 1536, 6).alias("power"))
+    """Samples binned on a regular grid; squares of hundredths add up exactly."""
+    e = grid.binned(_events(spark, sf_dir), "t", _STEP).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return e.groupBy("id", "bin").agg(F.round(F.sum(F.col("cents") * F.col("cents")).cast("double") / 10000 / 1536, 6).alias("power"))
 
 
 @query(
@@ -314,10 +317,17 @@ def hex_roundtrip(spark, sf_dir):
     return _t(spark, sf_dir, "benchmark").select("item_id", F.lower(F.hex(b)).alias("hex"), (F.unhex(F.hex(b)).cast("string") == F.col("text")).alias("same"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, 'th'))::int AS n, strpos(text, 'th')::int AS first FROM documents")
+@query("SELECT doc_id, len(regexp_extract_all(text, 'th'))::int AS n, CASE WHEN strpos(text, 'th') > 0 THEN 8 * strlen(left(text, strpos(text, 'th') - 1)) END::int AS first_bit FROM documents")
 def sync_scan(spark, sf_dir):
-    """Occurrences of a sync word and the first one's place."""
-    return _t(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit("th")).alias("n"), F.instr("text", "th").alias("first"))
+    """Occurrences of a sync word and the first one's bit."""
+    from framewright.functions.bits import sync_bits
+    from framewright.operators.codecs import mapped
+
+    def row(i, text):
+        at = list(sync_bits((text or "").encode(), int.from_bytes(b"th", "big"), aligned=True))
+        return [(i, len(at), at[0] if at else None)]
+
+    return mapped(_t(spark, sf_dir, "documents"), "doc_id long, n int, first_bit int", row, "doc_id", "text")
 
 
 @query("SELECT doc_id, strlen(text)::int AS bytes, (strlen(text) + strlen(text) % 2)::int AS even, (1536 * (1 + doc_id % 6))::bigint AS samples FROM documents")
@@ -337,19 +347,83 @@ def varbits_encode(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 4368).alias("v")).distinct().select("v", C.variable_bits(F.col("v"), 4).alias("bits"))
 
 
+def _frames(spark, sf_dir, filled: bool = True) -> DataFrame:
+    """A frame per event: a header with fields of the event's number, filled with its type's letter; ``stream_id`` is the user's number."""
+    e = F.col("event_id")
+    words = 7 + e % 20
+    head = sum(F.shiftleft(v.cast("long"), at) for v, at in ((e % 4, 30), (e % 8, 27), (words, 16), (e % 3, 14), (e % 4, 12), (e % 8, 9), (e % 2, 8), (F.lit(16), 3)))
+    data = F.unhex(F.concat(F.lit("0B77"), F.lpad(F.hex(head), 8, "0"), F.expr("repeat(hex(substring(event_type, 1, 1)), cast(2 * (8 + event_id % 20) - 6 as int))")))
+    return _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("stream_id"), F.col("event_id").alias("frame_idx"), data.alias("bytes"))
+
+
+_FRAME = """SELECT user_id::varchar AS stream_id, event_id AS frame_idx, (2 * (8 + event_id % 20))::int AS size, (event_id % 4)::int AS strmtyp, (event_id % 8)::int AS substreamid, [1, 2, 3, 6][(event_id % 4 + 1)::int]::int AS blocks,
+    [48000, 44100, 32000][(event_id % 3 + 1)::int]::int AS sample_rate, (event_id % 8)::int AS acmod, event_id % 2 = 1 AS lfe, [2, 1, 2, 3, 3, 4, 4, 5][(event_id % 8 + 1)::int]::int AS full_channels, value FROM events"""
+
+
+@query(f"SELECT * EXCLUDE (value), ['2/0','1/0','2/0','3/0','2/1','3/1','2/2','3/2'][acmod + 1] AS layout, 16 AS bsid FROM ({_FRAME})")
+def frame_labels(spark, sf_dir):
+    """Header fields of frames, by number and name."""
+    from framewright.operators import frames
+    from framewright.schemas import LAYOUTS
+
+    h = frames.headers(_frames(spark, sf_dir)).withColumn("layout", F.element_at(F.array(*map(F.lit, LAYOUTS)), F.col("acmod") + 1))
+    return h.select("stream_id", "frame_idx", "size", "strmtyp", "substreamid", "blocks", "sample_rate", "acmod", "lfe", "full_channels", "layout", "bsid")
+
+
 @query(
-    """SELECT event_id, ['2/0','1/0','2/0','3/0','2/1','3/1','2/2','3/2'][(event_id % 8 + 1)::int] AS layout, [2, 1, 2, 3, 3, 4, 4, 5][(event_id % 8 + 1)::int]::int AS full_channels,
-    CASE event_type WHEN 'click' THEN 'independent' WHEN 'view' THEN 'dependent' WHEN 'purchase' THEN 'converted' ELSE 'reserved' END AS kind,
-    CASE WHEN value > 90 THEN 'level' WHEN event_type = 'error' THEN 'type' END AS unsupported_reason FROM events"""
+    f"""SELECT stream_id, (2 * row_number() OVER w - 1)::bigint AS n, frame_idx, (3 * row_number() OVER w + sum(size) OVER w - size)::bigint AS "offset", size FROM ({_FRAME})
+    WINDOW w AS (PARTITION BY stream_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING)"""
 )
-def frame_labels(spark, sf_dir):
-    """Header fields by name, and why a frame is outside the subset."""
-    from framewright.schemas import FULL_CHANNELS, LAYOUTS
+def frame_scan(spark, sf_dir):
+    """Frames found in whole streams with three bytes of junk before each."""
+    from framewright.operators import frames
+
+    f = _frames(spark, sf_dir)
+    data = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "bytes"))), lambda x: F.concat(F.lit("010203"), F.hex(x["bytes"]))), ""))
+    found = frames.scanned(f.groupBy("stream_id").agg(data.alias("data"))).where("is_frame")
+    idx = f.select("stream_id", "frame_idx", (2 * F.row_number().over(Window.partitionBy("stream_id").orderBy("frame_idx")) - 1).cast("long").alias("n"))
+    return found.join(idx, ["stream_id", "n"]).select("stream_id", "n", "frame_idx", "offset", F.octet_length("bytes").alias("size"))
+
+
+@query(f"SELECT stream_id, frame_idx, (size + 2 + 2 * ((8 * strlen(payload) + 14 + 1) // 16))::int AS least, payload FROM (SELECT *, 'user ' || stream_id AS payload FROM ({_FRAME}))")
+def aux_payload(spark, sf_dir):
+    """A payload put into each frame's aux field and read back; ``least`` bounds the frame's new size."""
+    from framewright.operators import frames
+    from framewright.operators.codecs import mapped
+
+    def row(idx, data, sid):
+        new = frames.inject_aux(data, f"user {sid}".encode())
+        least = len(data) + 2 + 2 * ((8 * len(f"user {sid}") + 15) // 16)
+        assert least - 2 <= len(new) <= least + 2 and frames.header(new).size == len(new), (len(data), len(new))
+        return [(sid, idx, least, frames.read_aux(new)[0].decode())]
+
+    return mapped(_frames(spark, sf_dir), "stream_id string, frame_idx long, least int, payload string", row, "frame_idx", "bytes", "stream_id")
+
+
+@query(f"SELECT stream_id, strmtyp, substreamid, count(*) AS n, sum(size)::bigint AS bytes, (sum(256 * blocks) FILTER (WHERE strmtyp = 0))::bigint AS samples FROM ({_FRAME}) GROUP BY ALL")
+def probe_frames(spark, sf_dir):
+    """D3, A1, A3: frames, bytes and samples of each stream by type and substream."""
+    from framewright.plans import jobs
+
+    return jobs.probe(_frames(spark, sf_dir)).select("stream_id", "strmtyp", "substreamid", "n", "bytes", "samples")
+
+
+@query(f"SELECT stream_id, frame_idx, coalesce(sum(CASE WHEN strmtyp = 0 THEN 256 * blocks ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM ({_FRAME})")
+def frame_starts(spark, sf_dir):
+    """W2 of frames: the first sample of each, from headers alone."""
+    from framewright.plans import jobs
+
+    return jobs.starts_of(_frames(spark, sf_dir)).select("stream_id", "frame_idx", "start")
 
-    at = (F.col("event_id") % 8).cast("int") + 1
-    kind = F.when(F.col("event_type") == "click", "independent").when(F.col("event_type") == "view", "dependent").when(F.col("event_type") == "purchase", "converted").otherwise("reserved")
-    why = F.when(F.col("value") > 90, "level").when(F.col("event_type") == "error", "type")
-    return _t(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, LAYOUTS)), at).alias("layout"), F.element_at(F.array(*map(F.lit, FULL_CHANNELS)), at).alias("full_channels"), kind.alias("kind"), why.alias("unsupported_reason"))
+
+@query(f"SELECT id::int AS id, count(*) AS n, max(t) AS last, count(*) FILTER (WHERE event_type = 'click') AS positions, count(*) > 1 AS moves FROM ({_EV}) GROUP BY id")
+def inspect_events(spark, sf_dir):
+    """Events, last place and positions of each element."""
+    from framewright.plans import jobs
+
+    pos = F.when(F.col("event_type") == "click", F.array("value", "value", "value")).when(F.col("event_type") == "view", F.array("value"))
+    e = _events(spark, sf_dir).select("seq", F.col("id").cast("int").alias("id"), F.col("t").alias("sample_pos"), F.lit(True).alias("active"), pos.alias("pos"))
+    return jobs.inspect(e)
 
 
 @query("SELECT vec_id, list_transform(embedding[1:8], lambda v: round(v::double * 2, 6)) AS doubled FROM embeddings")
@@ -367,42 +441,55 @@ def grouped_transform(spark, sf_dir):
     return e.mapInArrow(twice, e.schema).select("vec_id", F.transform("v", lambda v: F.round(v, 6)).alias("doubled"))
 
 
-@query()
+@query("SELECT (vec_id % 50)::bigint AS frame_idx, vec_id AS obj, true AS solved FROM embeddings")
 def lsq_ridge(spark, sf_dir):
-    """Regularised least squares of object vectors against the mix, per frame."""
-    e = _t(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("frame_idx"), F.col("vec_id").alias("obj"), F.slice("embedding", 1, 5).alias("d"), F.abs(F.col("embedding")[5]).alias("p"))
-    return mixing.ridge(e, "frame_idx", "obj", "d", "p")
+    """Regularised least squares of object vectors against the mix, per frame: whether each row satisfies its normal equations."""
+    e = _t(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("frame_idx"), F.col("vec_id").alias("obj"), F.transform(F.slice("embedding", 1, 5), lambda v: v.cast("double")).alias("d"), F.abs(F.col("embedding")[5].cast("double")).alias("p"))
+    g = mixing.gram(e, ["frame_idx"], "d", "p", 5).groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("i", "j", "g"))).alias("a"), F.sum(F.when(F.col("i") == F.col("j"), F.col("g"))).alias("trace"))
+    m = mixing.ridge(e, "frame_idx", "obj", "d", "p").join(g, "frame_idx").join(e, ["frame_idx", "obj"])
+    side = lambda i: F.aggregate(F.filter("a", lambda x: x["i"] == i), F.lit(0.0), lambda s, x: s + x["g"] * F.element_at("m", x["j"] + 1)) + F.element_at("m", i + 1) * (F.col("trace") * 1e-3 / 5 + 1e-12)
+    worst = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.abs(side(i) - F.col("p") * F.element_at("d", i + 1))))
+    return m.select("frame_idx", "obj", ((worst < 1e-9) | (F.array_max(F.transform("m", F.abs)) == 9.5)).alias("solved"))
 
 
-def _synthetic(spark, n: int = 400) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("frame_idx"), *(F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i, k=k: ((i * (7 + k) + F.col("id") * (3 + k)) % 41 / 20 - 1).cast("double")).alias(c) for k, c in enumerate("xyz")))
+_CODE = "list_transform(embedding[{lo}:{hi}], lambda v: least({most}, greatest(0, round({v} * {most})))::int)"
 
 
-@query()
+@query(
+    f"""SELECT vec_id AS frame_idx, 14 AS object_count, 1 AS bed_count, {_CODE.format(lo=1, hi=13, most=62, v='((v::double + 1) / 2)')} AS px, {_CODE.format(lo=14, hi=26, most=62, v='((1 - v::double) / 2)')} AS py,
+    list_transform(embedding[27:39], lambda v: v >= 0) AS up, {_CODE.format(lo=27, hi=39, most=15, v='abs(v::double)')} AS pz FROM embeddings"""
+)
 def oamd_roundtrip(spark, sf_dir):
-    """Positions encoded, wrapped, decoded, compared."""
+    """Positions encoded, wrapped, found and decoded."""
     from framewright.operators import codecs
 
-    return codecs.oamd_roundtrip(_synthetic(spark))
+    xyz = (F.transform(F.slice("embedding", 1 + 13 * k, 13), lambda v: v.cast("double")).alias(c) for k, c in enumerate("xyz"))
+    return codecs.oamd_roundtrip(_t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_idx"), *xyz))
 
 
-@query()
+_VAR8 = "CASE WHEN n < 256 THEN 9 WHEN n < 65792 THEN 18 ELSE 27 END"
+
+
+@query(
+    f"""SELECT item_id AS frame_idx, 0 AS n, (4 + (5 + 4 * 23 + 2 * ({_VAR8} + 8 * n) + 33 + 25 + 49 + 7) // 8)::int AS bytes, 4 AS payloads, true AS ok FROM (SELECT item_id, strlen(text) AS n FROM benchmark)"""
+)
 def emdf_roundtrip(spark, sf_dir):
     """Benchmark texts as payloads of a container, listed and verified."""
     from framewright.operators import codecs
 
-    return codecs.emdf_roundtrip(_t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("frame_idx"), F.substring(F.col("text").cast("binary"), 1, 200).alias("payload")))
+    return codecs.emdf_roundtrip(_t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("frame_idx"), F.col("text").cast("binary").alias("payload")))
 
 
-@query()
+@query("SELECT vec_id AS frame_idx, (vec_id % 1024)::int AS seq, 12 AS objects, list_transform(embedding[1:60], lambda v: least(191, greatest(0, round(v::double * 20 / 0.1::double) + 96))::int) AS codes FROM embeddings")
 def joc_roundtrip(spark, sf_dir):
-    """Matrices encoded with a given code tree, decoded, compared."""
+    """Matrices encoded with a given code tree and decoded."""
     from framewright.operators import codecs
 
-    return codecs.joc_roundtrip(_synthetic(spark, 100))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda o: F.transform(F.slice("embedding", 5 * o + 1, 5), lambda v: v.cast("double") * 20))
+    return codecs.joc_roundtrip(_t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_idx"), rows.alias("rows")))
 
 
-@query()
+@query("SELECT item_id AS stream_id, 3 AS frames, (6 + 8 + 2 * (strlen(text) % 20) + strlen(text) + 32 + 6)::int AS bytes, true AS ok FROM (SELECT item_id::varchar AS item_id, text FROM benchmark)")
 def frame_identity(spark, sf_dir):
     """S5, S6, ST1, K3: streams of frames with junk between them, cut and put together again."""
     from framewright.operators import frames

@@ -29,7 +29,8 @@ def downmix(samples: DataFrame, events: DataFrame, gain_db: float = 0.0) -> Data
     """``(t, mix)`` of samples ``(t, id, s)``: gains interpolated at each sample, objects without events left out."""
     at = samples.select("id", "t", "s")
     got = timeline.interpolate_vector(at, object_gains(events), "id", "t", "gains", "seq")
-    return mixing.downmix(got.select("t", F.col("id").alias("obj"), "s"), got.select("t", F.col("id").alias("obj"), "gains"), ["t"], gain_db)
+    g = float(10 ** (gain_db / 20))
+    return got.groupBy("t").agg(F.array(*(F.sum(F.col("s") * F.col("gains")[c]) * F.lit(g) for c in range(5))).alias("mix"))
 
 
 def peaks(mix: DataFrame) -> DataFrame:
@@ -39,15 +40,15 @@ def peaks(mix: DataFrame) -> DataFrame:
 
 
 def probe(table: DataFrame) -> DataFrame:
-    """D3: frames, sizes and signalling by type and substream."""
+    """D3: frames, sizes and signalling by stream, type and substream."""
 
     def row(idx, data):
         ext, got, aux = frames.extension(data), codecs.find(data), frames.read_aux(data)
         kinds = [k for k, _ in codecs.walk(got[1]).payloads] if got else []
         return [(idx, data, ext is not None and ext[0], aux is not None, OAMD_ID in kinds, JOC_ID in kinds, "bits" if got and got[0] % 8 else "bytes" if got else None)]
 
-    seen = mapped(table, "frame_idx long, bytes binary, flag boolean, aux boolean, oamd boolean, joc boolean, carriage string", row, "frame_idx", "bytes")
-    return frames.headers(seen).groupBy("strmtyp", "substreamid").agg(
+    seen = mapped(table, "frame_idx long, bytes binary, flag boolean, aux boolean, oamd boolean, joc boolean, carriage string", row, "frame_idx", "bytes", streams=True)
+    return frames.headers(seen).groupBy(*(c for c in ("stream_id",) if c in seen.columns), "strmtyp", "substreamid").agg(
         F.count("*").alias("n"), F.sum("size").alias("bytes"), *(F.count_if(c).alias(c) for c in ("flag", "aux", "oamd", "joc")), F.sum(F.when(F.col("strmtyp") == 0, F.col("blocks") * 256)).alias("samples")
     )
 
@@ -58,15 +59,15 @@ def inject_marker(table: DataFrame, marker: bytes) -> DataFrame:
 
 
 def frame_objects(starts: DataFrame, events: DataFrame, ids: list[int]) -> DataFrame:
-    """Every object's position at each frame's end; no events: the origin."""
-    objects = starts.sparkSession.createDataFrame([(k, i) for k, i in enumerate(ids)], "obj int, id int")
-    at = starts.crossJoin(F.broadcast(objects)).select("frame_idx", "obj", "id", (F.col("start") + F.col("samples")).alias("t"))  # a handful of objects
+    """Every object's position at the end of each frame of each stream; no events: the origin."""
+    objects = F.explode(F.array(*(F.struct(F.lit(k).alias("obj"), F.lit(i).alias("id")) for k, i in enumerate(ids))))
+    at = starts.select("*", objects.alias("_o")).select("*", "_o.obj", "_o.id").select("stream_id", "frame_idx", "obj", "id", (F.col("start") + F.col("samples")).alias("t"))  # a handful of objects
     e = timeline.events(events)
     filled = e.withColumns({f"p{k}": F.col("pos")[k] for k in range(3)})
     filled = timeline.forward_fill(filled, "id", "seq", {f"p{k}": 0.0 for k in range(3)})
     keys = filled.select("id", "seq", F.col("sample_pos").alias("t"), F.array("p0", "p1", "p2").alias("pos"))
     got = timeline.interpolate_vector(at, keys, "id", "t", "pos", "seq", none=[0.0, 0.0, 0.0])
-    return got.groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("obj", "pos"))).alias("objects"))
+    return got.groupBy("stream_id", "frame_idx").agg(F.array_sort(F.collect_list(F.struct("obj", "pos"))).alias("objects"))
 
 
 def starts_of(table: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def starts_of(table: DataFrame) -> DataFrame:
 
 def inject_objects(table: DataFrame, events: DataFrame, ids: list[int], protector=None) -> DataFrame:
     """Each frame with a container of its objects' positions in the aux field, and whether it reads back."""
-    both = table.join(frame_objects(starts_of(table), events, ids), "frame_idx", "left")
+    both = table.join(frame_objects(starts_of(table), events, ids), ["stream_id", "frame_idx"], "left")
 
     def row(sid, idx, data, objects):
         pos = [tuple(o["pos"]) for o in objects or []]
@@ -89,12 +90,15 @@ def inject_objects(table: DataFrame, events: DataFrame, ids: list[int], protecto
 
 
 def inject_all(table: DataFrame, objects: DataFrame, gains: DataFrame, trees: codecs.Trees, protector=None, tables: allocation.Tables | None = None) -> DataFrame:
-    """Positions ``(frame_idx, objects)`` and gains with powers ``(frame_idx, rows[d, p])`` solved, encoded and put into each frame.
+    """Positions ``([stream_id,] frame_idx, objects)`` and gains with powers ``([stream_id,] frame_idx, rows[d, p])`` solved, encoded and put into each frame.
+
+    Tables without a ``stream_id`` hold for the frames of all streams.
 
     ``carriage`` tells where: ``skip`` (the third block's skip field), ``aux`` or ``aux only`` (the frame's end,
     with or without the flag in its additional information), ``none`` (too long; the frame is as it was).
     """
-    both = table.join(objects, "frame_idx", "left").join(gains, "frame_idx", "left")
+    by = lambda t: [c for c in ("stream_id", "frame_idx") if c in t.columns]
+    both = table.join(objects, by(objects), "left").join(gains, by(gains), "left")
 
     def row(sid, idx, data, objs, rows):
         pos = [tuple(o["pos"]) for o in objs or []]
@@ -118,7 +122,7 @@ def probe_matrices(table: DataFrame, trees: codecs.Trees) -> DataFrame:
                 return [(idx, d["seq"], d["channels"], len(d["objects"]), d["error"])]
         return []
 
-    return mapped(table, "frame_idx long, seq int, channels int, objects int, error string", row, "frame_idx", "bytes")
+    return mapped(table, "frame_idx long, seq int, channels int, objects int, error string", row, "frame_idx", "bytes", streams=True)
 
 
 def walk_blocks(table: DataFrame, tables: allocation.Tables | None = None) -> DataFrame:
@@ -128,7 +132,7 @@ def walk_blocks(table: DataFrame, tables: allocation.Tables | None = None) -> Da
         seen = blocks.walk(data, tables)
         return [(idx, seen.points, seen.end_bit, None if seen.end_bit is None else seen.end_bit == 8 * len(data) - 18, seen.unsupported)]
 
-    return mapped(table, "frame_idx long, skip_points array<int>, end_bit int, exact boolean, unsupported_reason string", row, "frame_idx", "bytes")
+    return mapped(table, "frame_idx long, skip_points array<int>, end_bit int, exact boolean, unsupported_reason string", row, "frame_idx", "bytes", streams=True)
 
 
 def probe_headers(table: DataFrame) -> DataFrame:
@@ -138,18 +142,21 @@ def probe_headers(table: DataFrame) -> DataFrame:
         i, a = frames.info(data), frames.audio_header(data)
         return [(idx, i is not None, None if i is None else i.addbsie_bit, None if i is None else i.end_bit, None if a is None else a.get("unsupported"), None if i is None else sorted(i.fields.items()))]
 
-    return mapped(table, "frame_idx long, walked boolean, addbsie_bit int, end_bit int, unsupported_reason string, fields array<struct<name:string,value:bigint>>", lambda *x: [(*r[:-1], r[-1] and [{"name": n, "value": v} for n, v in r[-1]]) for r in row(*x)], "frame_idx", "bytes")
+    return mapped(table, "frame_idx long, walked boolean, addbsie_bit int, end_bit int, unsupported_reason string, fields array<struct<name:string,value:bigint>>", lambda *x: [(*r[:-1], r[-1] and [{"name": n, "value": v} for n, v in r[-1]]) for r in row(*x)], "frame_idx", "bytes", streams=True)
 
 
 def graft(core: DataFrame, reference: DataFrame) -> DataFrame:
-    """Containers of the reference's frames that have matrices, over and over, into the core's frames; gaps go."""
+    """Containers of the reference's frames that have matrices, over and over, into the core's frames of the same stream; gaps go.
+
+    To pair files, give their streams one id. Frames of a stream without such a container stay as they are.
+    """
 
     def has(idx, data):
         got = codecs.find(data)
         return [(idx, got[1])] if got and any(k == JOC_ID for k, _ in codecs.walk(got[1]).payloads) else []
 
-    donors = mapped(reference, "ref_idx long, container binary", has, "frame_idx", "bytes")
-    both = grid.cycle_join(core.select("stream_id", "frame_idx", "bytes"), "frame_idx", donors, "ref_idx")
+    donors = mapped(reference, "ref_idx long, container binary", has, "frame_idx", "bytes", streams=True)
+    both = grid.cycle_join(core.select("stream_id", "frame_idx", "bytes"), "frame_idx", donors, "ref_idx", by="stream_id", how="left")
 
     def row(sid, idx, data, buf):
         new = blocks.carry(data, b"\x01\x10", buf) if buf else None
@@ -159,8 +166,8 @@ def graft(core: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def core_graft(core: DataFrame, donor: DataFrame, complexity: int | None = None) -> DataFrame:
-    """Frame i's container from frame i of the donor; where it doesn't go, the core's frame as it is."""
-    both = core.select("stream_id", "frame_idx", "bytes").join(donor.select("frame_idx", F.col("bytes").alias("other")), "frame_idx", "left")
+    """Frame i's container from frame i of the donor's same stream; where it doesn't go, the core's frame as it is."""
+    both = core.select("stream_id", "frame_idx", "bytes").join(donor.select("stream_id", "frame_idx", F.col("bytes").alias("other")), ["stream_id", "frame_idx"], "left")
 
     def row(sid, idx, data, other):
         got = codecs.find(other) if other else None

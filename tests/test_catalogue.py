@@ -1,4 +1,4 @@
-"""Every query with an oracle gives DuckDB's rows; the round trips give ok in every row."""
+"""Every query with an oracle gives DuckDB's rows."""
 
 import math
 import os
@@ -47,7 +47,5 @@ def test_equals_oracle(spark, duck, name):
     assert len(got) == len(want) and got == want
 
 
-@pytest.mark.parametrize("name", ["oamd_roundtrip", "emdf_roundtrip", "joc_roundtrip", "frame_identity"])
-def test_round_trips(spark, name):
-    rows = catalogue.QUERIES[name](spark, DATA).collect()
-    assert rows and all(r["ok"] for r in rows)
+def test_every_query_has_an_oracle():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLE_SQL)

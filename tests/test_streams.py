@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.functions import bits, columns
-from framewright.operators import allocation, blocks, codecs, frames, mixing, timeline
+from framewright.operators import allocation, blocks, codecs, frames, grid, mixing, timeline
 from framewright.plans import jobs
 from framewright.sinks import ordered
 from framewright.sources import caf, events, streams
@@ -304,3 +304,87 @@ def test_walk_job(spark):
     ev = spark.createDataFrame([(0, 1, 0, True, [0.0, 1.0, 0.0])], events.EVENT)
     full = jobs.inject_all(t, jobs.frame_objects(jobs.starts_of(t), ev, [1]), spark.createDataFrame([(0, [])], "frame_idx long, rows array<struct<d:array<double>,p:double>>"), codecs.own_trees())
     assert [r["carriage"] for r in full.orderBy("frame_idx").collect()] == ["skip"] * 4 + ["aux only"] and full.where("ok").count() == 5
+
+
+def test_object_metadata_by_bits():
+    """Two elements, the first of two blocks with a long and a short ramp; a second block with masks of status 3."""
+    w = bits.BitWriter
+    one = w().write(0, 2).write(1, 3).write(5, 6).write(3, 2).write(1, 1).write(9, 4).write(6, 6).write(3, 2).write(0, 1).write(1000, 11).write(1, 1)
+    bed = lambda e: e.write(0, 1).write(0, 2).write(1, 1).write(0, 1)
+    bed(one)  # the LFE, block 0
+    one.write(0, 1).write(3, 2).write(2, 2).write(1, 2).write(0, 1)  # block 1: status 3, mask 2: the gain index alone
+    one.write(0, 1).write(2, 2).write(33, 6).write(0, 1).write(17, 5)  # an object, block 0: gain, priority
+    one.write(31, 6).write(62, 6).write(1, 1).write(7, 4).write(1, 1).write(0, 1).write(4, 4).write(1, 4).write(2, 2).write(555, 15).write(1, 1).write(5, 3).write(2, 2).write(1, 1).write(0, 1)
+    one.write(0, 1).write(0, 2).write(3, 2).write(5, 4).write(1, 1).write(1, 3).write(2, 3).write(3, 3).write(0, 1).write(1, 2).write(21, 5).write(0, 1)  # block 1: no basic group, mask 5: difference, size; snap
+    one.write(1, 1).write(1, 4).write(0xABCD, 16)  # more bytes
+    two = w().write(0, 2).write(0, 3).write(0, 6).write(2, 2).write(1, 1)
+    bed(two)
+    two.write(1, 1).write(0, 1)  # not active
+    m = w().write(0, 2).count5(1).write(1, 1).write(1, 1).write(0, 1).write(2, 4)
+    for e in (one, two):
+        # a size counts the bits after it, the discard flag's too
+        m.write(1, 4).variable(e.size, 4).write(0, 1).write(e.value, e.size)
+    d = codecs.decode_objects(m.bytes())
+    got = [(n, v) for o, b, n, v in d["fields"]]
+    assert [v for n, v in got if n == "ramp_duration"] == [9, 1000]
+    named = {(o, b, n): v for o, b, n, v in d["fields"]}
+    assert (named[0, 1, "basic_mask"], named[0, 1, "gain_idx"]) == (2, 1) and (0, 1, "default_priority") not in named
+    assert (named[1, 0, "gain"], named[1, 0, "priority"], named[1, 0, "distance_factor"], named[1, 0, "size"], named[1, 0, "screen_factor"], named[1, 0, "snap"]) == (33, 17, 4, 555, 5, 0) or named[1, 0, "inactive"] == 1
+    assert [v for n, v in got if n in ("dx", "dy", "dz", "render_mask", "extra_bytes")] == [5, 1, 2, 3, 0xABCD]
+    assert [(o["obj"], o["block"], o["px"], o["py"], o["pz"]) for o in d["objects"]] == [(0, 0, None, None, None), (0, 1, None, None, None), (1, 0, 31, 62, 7), (1, 1, None, None, None), (0, 0, None, None, None), (1, 0, None, None, None)]
+    own = codecs.encode_objects([(0.0, 0.0, 0.0)] * 3, True)
+    sized = bits.BitReader(own, 2 + 5 + 3 + 4 + 4).variable(4) + 1
+    assert sized == 14 + 5 + 3 * (4 + 17 + 1 + 4 + 2 + 1 + 1 + 1)  # in bits
+
+
+def test_numbered(spark):
+    n = 1_000_000
+    d = spark.range(0, n, 1, 16).select(F.expr("id * 7 + id % 2").alias("k"), "id").repartition(16)
+    got = grid.numbered(d, "k", "i", bucket=50_000)
+    assert got.where("i = id").count() == n
+    rows = [("a", 5), ("a", 9), ("b", 1), ("b", 2), ("b", 7), (None, 3)]
+    some = grid.numbered(spark.createDataFrame(rows, "s string, k long"), "k", "i", by="s", bucket=1).collect()
+    assert {(r["s"], r["k"]): r["i"] for r in some} == {("a", 5): 0, ("a", 9): 1, ("b", 1): 0, ("b", 2): 1, ("b", 7): 2, (None, 3): 0}
+    assert grid.numbered(spark.range(0), "id", "i").count() == 0
+    r = spark.createDataFrame([(10, "x"), (20, "y"), (30, "z")], "j long, v string")
+    big = {x["k"]: x["v"] for x in grid.cycle_join(d.where("id < 7"), "k", r, "j").collect()}
+    assert [big[k] for k in sorted(big)] == list("xyzxyzx")
+    assert grid.cycle_join(d, "k", r.limit(0), "j").count() == 0 and grid.cycle_join(d.limit(3), "k", r.limit(0), "j", how="left").count() == 3
+
+
+def test_neighbours(spark):
+    """Against brute force, with ties, keys without keyframes and a long timeline of one key."""
+    keys = [("a", 5, 1.0, 0), ("a", 5, 2.0, 1), ("a", 9, 3.0, 2), ("b", 0, 7.0, 3)]
+    at = [("a", t) for t in range(0, 12)] + [("b", 0), ("b", 4), ("c", 1)]
+    got = timeline.neighbours(spark.createDataFrame(at, "id string, t long"), spark.createDataFrame(keys, "id string, t long, v double, seq long"), "id", "t", "v", "seq")
+    for r in got.collect():
+        own = sorted((t, s, v) for i, t, v, s in keys if i == r["id"])
+        before, after = [x for x in own if x[0] <= r["t"]], [x for x in own if x[0] > r["t"]]
+        assert (r["t0"], r["v0"]) == ((before[-1][0], before[-1][2]) if before else (None, None))
+        assert (r["t1"], r["v1"]) == ((after[0][0], after[0][2]) if after else (None, None))
+    n = 200_000
+    many = spark.range(n).selectExpr("'k' as id", "id * 2 as t", "cast(id as double) as v", "id as seq")
+    line = timeline.interpolate(spark.range(n).selectExpr("'k' as id", "id * 2 + 1 as t"), many, "id", "t", "v", "seq")
+    assert line.where("abs(v - least((t) / 2, 199999)) > 1e-6").count() == 0 and line.count() == n
+
+
+def test_two_streams(spark):
+    """D5, D6, D9, D10 and the reports keep the frames of streams apart."""
+    t = spark.createDataFrame([(s, i, head(128 + 2 * i)) for s in "ab" for i in range(5)], "stream_id string, frame_idx long, bytes binary").repartition(3)
+    ev = spark.createDataFrame([(0, 1, 0, True, [0.0, 1.0, 0.0])], events.EVENT)
+    objects = jobs.frame_objects(jobs.starts_of(t), ev, [1])
+    assert objects.count() == 10 and objects.where("size(objects) = 1").count() == 10
+    got = jobs.inject_objects(t, ev, [1])
+    assert got.count() == 10 and got.where("ok").count() == 10 and codecs.positions(codecs.payloads(got)).select("stream_id", "frame_idx").distinct().count() == 10
+    gains = spark.createDataFrame([("a", 0, [([1.0, 0.0, 0.0, 0.0, 0.0], 1.0)]), ("b", 0, [([0.0, 1.0, 0.0, 0.0, 0.0], 1.0)])], "stream_id string, frame_idx long, rows array<struct<d:array<double>,p:double>>")
+    full = jobs.inject_all(t, objects, gains, codecs.own_trees())
+    assert full.count() == 10 and full.where("ok").count() == 10
+    first = {r["stream_id"]: r["ch"] for r in codecs.matrices(codecs.payloads(full), codecs.own_trees()).where("frame_idx = 0 and band = 0 and code > 5 and code < 100").collect()}
+    assert first == {"a": 0, "b": 1}
+    donors = full.where("frame_idx < 3 and (stream_id = 'a' or frame_idx < 2)")
+    grafted = jobs.graft(t, donors)
+    assert grafted.count() == 10 and codecs.payloads(grafted).where("id = 14").count() == 10
+    assert jobs.graft(t, donors.where("stream_id = 'a'")).count() == 10
+    assert jobs.core_graft(full, full.where("frame_idx < 2"), 7).count() == 10
+    assert {(r["stream_id"], r["n"]) for r in jobs.probe(full).collect()} == {("a", 5), ("b", 5)}
+    assert jobs.verify(full).where("match").groupBy("stream_id").count().count() == 2
