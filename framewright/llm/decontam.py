@@ -18,6 +18,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ COSINE = 0.4
 SHARED = 0.4
 #: Shares of an item's words, in order, that make a copy, and that make a paraphrase if the answer is there, too.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 5
+#: Words of a part of an item at most; longer items are cut, and a document that holds a part holds the item.
+MOST = 2 * PASSAGE
 #: Items that are held against the documents in one pass.
 ITEMS = 50_000
 #: Cosines that are held at a time.
@@ -70,27 +73,60 @@ def alike(a: list[str], b: list[str]) -> float:
     return float(sum(n * y[w] for w, n in x.items()) / np.sqrt(float(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))))
 
 
-def coded(split: list[list[str]], terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each text begins in the run of all words (and the end), and the places and numbers of the words that are terms."""
-    first = np.cumsum([0, *map(len, split)])
-    code = np.fromiter(map(terms.get, chain.from_iterable(split), repeat(-1)), dtype=np.int32, count=int(first[-1]))
-    at = np.flatnonzero(code >= 0)
-    return first, at, code[at]
+class Words:
+    """The words of a batch of texts as numbers: ``first`` has where each text begins in the run of all words (and the end).
+
+    Only distinct runs without white space are cut into words, so a frequent word is looked at once a batch.
+    """
+
+    def __init__(self, texts: pa.Array):
+        self.texts = texts
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        flat = lists.flatten().dictionary_encode()
+        at, names = flat.indices.to_numpy(zero_copy_only=False), {}
+        cut = [WORDS.findall(t.lower()) for t in flat.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        code = np.fromiter((names.setdefault(w, len(names)) for w in chain.from_iterable(cut)), dtype=np.int32, count=int(sizes.sum()))
+        owner, k = spans(sizes[at])
+        self.code = code[(np.cumsum(sizes) - sizes)[at][owner] + k] if len(owner) else np.zeros(0, np.int32)
+        self.names = list(names)
+        self.first = np.r_[0, np.cumsum(group_sums(sizes[at], np.diff(lists.offsets.to_numpy())))]
+        self._split: dict[int, list[str]] = {}
+
+    def among(self, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The places and numbers of the words that are terms."""
+        look = np.fromiter(map(terms.get, self.names, repeat(-1)), dtype=np.int32, count=len(self.names))
+        code = look[self.code]
+        at = np.flatnonzero(code >= 0)
+        return at, code[at]
+
+    def of(self, text: int) -> list[str]:
+        if text not in self._split:
+            self._split[text] = [self.names[k] for k in self.code[self.first[text] : self.first[text + 1]]]
+        return self._split[text]
+
+
+def parts_of(words: list[str]) -> list[list[str]]:
+    """An item in even parts of MOST words or fewer: a passage that is much shorter than what it is held against looks like nothing of it."""
+    n = max(1, -(-len(words) // MOST))
+    return [words[len(words) * k // n : len(words) * (k + 1) // n] for k in range(n)]
 
 
 @dataclass
 class Index:
     terms: dict[str, int]
     vectors: np.ndarray  # term x rank, with idf
-    items: np.ndarray  # item x rank, unit length
+    items: np.ndarray  # item part x rank, unit length
     ids: list[int | None]
+    item: list[int]  # of each part: the place of its item's id
+    last: list[bool]  # whether the part ends in the item's answer
     words: list[list[str]]
     sets: list[frozenset[int]]
-    weak: list[int]  # items that are also searched for word by word
+    weak: list[int]  # parts that are also searched for word by word
 
-    def passages(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    def passages(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Of all texts: which text each passage with terms is of, its first word, its unit vector and its terms."""
-        first, at, term = coded(split, self.terms)
+        first, (at, term) = words.first, words.among(self.terms)
         size = np.diff(first)
         strides = -(-size // STEP)  # a passage is two strides; a text of one stride is a passage
         text, nth = spans(strides)
@@ -112,13 +148,18 @@ class Index:
         ok = np.flatnonzero(length > 1e-6)
         return owner[ok], begin[ok] - first[owner[ok]], out[ok] / length[ok][:, None], [term[lo[i] : hi[i]] for i in ok]
 
-    def matches(self, texts: list[str | None]) -> list[list[tuple]]:
-        """Per text, one (item id, cosine, overlap, answer, first word, words) for each item that it holds."""
-        found: list[list[tuple]] = [[] for _ in texts]
+    def matches(self, texts: pa.Array) -> list[list[tuple]]:
+        """Per text, one (item id, cosine, overlap, answer, first word, words) for each item that it holds: the best of the item's parts."""
+        found: list[list[tuple]] = [[] for _ in range(len(texts))]
         for lo in range(0, len(texts), 200):
-            split = [words_of(t) for t in texts[lo : lo + 200]]
-            owner, start, vec, terms = self.passages(split)
+            words = Words(texts.slice(lo, 200))
+            owner, start, vec, terms = self.passages(words)
             best: dict[tuple[int, int], tuple] = {}
+
+            def seen(o: int, i: int, got: tuple, cosine: float, best: dict = best) -> None:
+                if best.get((o, self.item[i])) is None or got[0] > best[o, self.item[i]][1]:
+                    best[o, self.item[i]] = (cosine, *got)
+
             step = max(16, min(4096, CELLS // len(self.items)))
             for a in range(0, len(vec), step):
                 cos = vec[a : a + step] @ self.items.T
@@ -127,28 +168,28 @@ class Index:
                     if len(have.intersection(terms[a + r].tolist())) < SHARED * len(have) * min(1.0, PASSAGE / len(self.words[i])):
                         continue
                     o = int(owner[a + r])
-                    got = self.check(split[o], int(start[a + r]), self.words[i])
-                    if got and (best.get((o, i)) is None or got[0] > best[o, i][1]):
-                        best[o, i] = (float(cos[r, i]), *got)
-            for o, i, at in self.dense(split):
-                got = self.check(split[o], at, self.words[i])
-                if got and (best.get((o, i)) is None or got[0] > best[o, i][1]):
-                    best[o, i] = (alike(self.words[i], split[o][got[2] : got[2] + got[3]]), *got)
-            for (o, i), x in sorted(best.items()):
-                found[lo + o].append((self.ids[i], *x))
+                    got = self.check(words.of(o), int(start[a + r]), self.words[i], self.last[i])
+                    if got:
+                        seen(o, i, got, float(cos[r, i]))
+            for o, i, at in self.dense(words):
+                got = self.check(words.of(o), at, self.words[i], self.last[i])
+                if got:
+                    seen(o, i, got, alike(self.words[i], words.of(o)[got[2] : got[2] + got[3]]))
+            for (o, k), x in sorted(best.items()):
+                found[lo + o].append((self.ids[k], *x))
         return found
 
-    def dense(self, split: list[list[str]]) -> Iterator[tuple[int, int, int]]:
-        """(text, item, first word) of the places in all texts with enough words of a weak item for ``check``, common ones too."""
+    def dense(self, words: Words) -> Iterator[tuple[int, int, int]]:
+        """(text, item part, first word) of the places in all texts with enough words of a weak part for ``check``, common ones too."""
         if not self.weak:
             return
         named = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(self.words[i] for i in self.weak)))}
-        first, at, code = coded(split, named)
+        first, (at, code) = words.first, words.among(named)
         for i in self.weak:
             n = len(self.words[i])
             own = np.zeros(len(named), dtype=bool)
             own[[named[w] for w in self.words[i]]] = True
-            here = at[own[code]]  # the words of the item, in the run of all words
+            here = at[own[code]]  # the words of the part, in the run of all words
             need = max(1, int(np.ceil(PARAPHRASE * n - 1e-9)))
             if len(here) < need:
                 continue
@@ -159,8 +200,8 @@ class Index:
                 yield o, i, k * STEP
 
     @staticmethod
-    def check(words: list[str], start: int, item: list[str]) -> tuple | None:
-        """(overlap, answer, first word, words) of the best stretch around a passage, if it is a copy or a paraphrase."""
+    def check(words: list[str], start: int, item: list[str], ends: bool = True) -> tuple | None:
+        """(overlap, answer, first word, words) of the best stretch around a passage, if it is a copy or a paraphrase of a part that ``ends`` in the answer."""
         n = len(item)
         stretch = n + n // 3 + 2
         lo, hi = max(0, start - stretch), min(len(words), start + PASSAGE + stretch)
@@ -176,7 +217,7 @@ class Index:
         if overlap < PARAPHRASE:
             return None
         end = item[-ANSWER:]
-        answer = lcs(end, part) >= 0.8 * len(end)
+        answer = ends and lcs(end, part) >= 0.8 * len(end)
         return (overlap, answer, at, len(part)) if overlap >= COPY or answer else None
 
 
@@ -186,10 +227,9 @@ def _frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, total = np.zeros(len(terms) + 1, dtype=np.int64), 0
         for b in batches:
-            texts = b.column("text")
             for lo in range(0, len(b), 500):
-                split = [words_of(t) for t in texts.slice(lo, 500).to_pylist()]
-                first, at, term = coded(split, terms)
+                words = Words(b.column("text").slice(lo, 500))
+                first, (at, term) = words.first, words.among(terms)
                 passages = -(-np.diff(first) // PASSAGE)
                 total += int(passages.sum())
                 owner = np.searchsorted(first, at, side="right") - 1
@@ -239,6 +279,8 @@ def index(docs: DataFrame, items: list[tuple[int | None, str]]) -> Index | None:
     spark = docs.sparkSession
     ids, words = [i for i, _ in items], [words_of(t) for _, t in items]
     ids, words = [i for i, w in zip(ids, words, strict=True) if w], [w for w in words if w]
+    cut = [(k, j == len(ps) - 1, p) for k, ps in enumerate(map(parts_of, words)) for j, p in enumerate(ps)]
+    words = [p for _, _, p in cut]
     named = sorted(set(chain.from_iterable(words)))
     if not named:
         return None
@@ -287,7 +329,7 @@ def index(docs: DataFrame, items: list[tuple[int | None, str]]) -> Index | None:
             unit[k] = v / max(1e-9, np.linalg.norm(v))
     sets = [frozenset(terms[w] for w in ws if w in terms) for ws in words]
     weak = [k for k, (s, ws) in enumerate(zip(sets, words, strict=True)) if len(s) < min(LEAST, len(set(ws))) or len(s) < KEPT * len(set(ws))]
-    return Index(terms, vectors, unit, ids, words, sets, weak)
+    return Index(terms, vectors, unit, ids, [k for k, _, _ in cut], [x for _, x, _ in cut], words, sets, weak)
 
 
 def indices(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
@@ -314,7 +356,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null, empty and wordless texts and items match nothing; ids may be null; rows that repeat match alike; words are
     runs of letters and digits in lower case. The cosine is that of the latent space, or of word counts where only the
-    words led to the item. Other columns are ignored. No items, no rows.
+    words led to the item. Texts are taken whole, however long; of an item of more than MOST words a document that holds one of its
+    parts holds the item. Other columns are ignored. No items or no documents, no rows.
     """
     schema = "doc_id long, item_id long, cosine double, overlap double, answer boolean, first_word long, n_words long"
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -323,7 +366,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], ix: Index = ix) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [(d, *x) for d, xs in zip(b.column("doc_id").to_pylist(), ix.matches(b.column("text").to_pylist()), strict=True) for x in xs]
+                found = [(d, *x) for d, xs in zip(b.column("doc_id").to_pylist(), ix.matches(b.column("text")), strict=True) for x in xs]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], type=t) for i, t in enumerate(kinds)], names=["doc_id", "item_id", "cosine", "overlap", "answer", "first_word", "n_words"])
 
@@ -338,7 +381,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], ix: Index = ix) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array([not x for x in ix.matches(b.column("text").to_pylist())], type=pa.bool_()))
+                yield b.filter(pa.array([not x for x in ix.matches(b.column("text"))], type=pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -346,6 +346,25 @@ def test_decontamination_of_frequent_items(spark):
         assert {r["doc_id"] for r in decontam.clean(d, b).collect()} == set(range(times, n))
 
 
+def test_decontamination_of_long_items(spark, docs):
+    """Items of 60 to 3,000 words, whole, in part, and in wide tables with long texts."""
+    rng = random.Random(6)
+    fresh = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    items = {n: fresh(n) for n in (60, 300, 1000, 3000)}
+    rows = [(n, fresh(80) + w + fresh(50)) for n, w in items.items()] + [(5, fresh(70) + items[3000][1000:1250] + fresh(90)), (6, fresh(2000))]
+    b = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    d = spark.createDataFrame([(i, " ".join(w), "x", "s", 1, 1, 2, 3, 4, 5.0, 6, "x") for i, w in rows], EXTRA)
+    got = decontam.contaminated(d.unionByName(docs), b).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(5, 3000), (60, 60), (300, 300), (1000, 1000), (3000, 3000)]
+    kept = decontam.clean(d.unionByName(docs), b)
+    assert kept.columns == docs.columns and kept.count() == docs.count() + 1
+    assert [len(p) for p in decontam.parts_of(fresh(3000))][:2] == [125, 125] and decontam.parts_of([]) == [[]]
+    for n in range(5):
+        t = [" ".join(fresh(n)) + "\u2003Straße ΟΔΟΣ, x_1\u00a0y\n" * n, None, ""]
+        w = decontam.Words(decontam.pa.array(t, type=decontam.pa.string()))
+        assert [w.of(i) for i in range(3)] == [decontam.words_of(x) for x in t]
+
+
 def test_passages(spark, docs, none):
     got = [r for r in passages.repeated(docs).collect()]
     by = {r["doc_id"]: r for r in got}
