@@ -269,7 +269,8 @@ def test_embeddings(spark):
 
 
 def test_pii(spark, docs, none, rows):
-    got = {r["doc_id"]: r for r in pii.found(docs).collect()}
+    key = b"k"
+    got = {r["doc_id"]: r for r in pii.found(docs, key).collect()}
     r = got[305]
     assert r["kinds"] == ["email", "phone", "ip", "person"] and all(e not in r["text"] for e in r["entities"])
     assert r["surrogates"][3].startswith("Frau ") and r["surrogates"][3].split()[1] in pii.NAMES["latin", "f"] and r["surrogates"][3].split()[2] in pii.SURNAMES["latin"]
@@ -277,32 +278,68 @@ def test_pii(spark, docs, none, rows):
     for x in rows:
         if x[0] not in (305, 303):
             assert got[x[0]]["n_entities"] == 0
-    assert got[300]["text"] is None and pii.found(none).count() == 0
-    out = pii.pseudonymise(docs)
+    assert got[300]["text"] is None and pii.found(none, key).count() == 0
+    out = pii.pseudonymise(docs, key)
     assert out.columns == docs.columns and out.count() == len(rows)
-    assert pii.collisions(pii.found(docs)).count() == 0
+    assert pii.collisions(pii.found(docs, key)).count() == 0
     for size in (2, 10, 1000):
         assert sorted(pii.permute(i, size, b"k", b"t") for i in range(size)) == list(range(size))
-    cards = [f"{n:016d}" for n in range(4000_0000_0000_0000, 4000_0000_0000_0300)]
-    new = [pii.surrogate("card", c) for c in cards]
-    assert len(set(new)) == len(cards) and [pii.luhn(c) for c in cards] == [pii.luhn(c) for c in new]
+    assert pii.key_of(spark) == pii.TEST_KEY
+    spark.conf.set(pii.KEY_SETTING, "00ff")
+    assert pii.key_of(spark) == b"\x00\xff"
+    spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_pii_surrogates_are_distinct():
+    """No two entities of a type share a surrogate, none is its own, and checks hold as before."""
+    key, rng = b"k", random.Random(2)
+    fresh = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    digits, letters = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    every = {
+        "card": [f"{n:016d}" for n in range(4000_0000_0000_0000, 4000_0000_0000_0300)],
+        "iban": [f"DE{pii.iban_check('DE', a) if k % 2 else k % 97:02d}{a}" for k, a in enumerate(fresh(digits, 18) for _ in range(300))],
+        "ip": [f"{a}.{b}.0.{c}" for a in (1, 9, 255) for b in (0, 7) for c in range(40)] + [f"{a}.{b}.0{c}.{c}" for a in ("01", "1", "001") for b in (0, 7) for c in range(8)],
+        "email": [f"{fresh(letters, 3)}@{fresh(letters, 4)}.org" for _ in range(300)], "ssn": [f"{n:03d}-12-3456" for n in range(300)],
+        "phone": [f"+49 30 {n}" for n in range(100000, 100300)] + [f"(212) 555-{n}" for n in range(1000, 1300)],
+        "secret": [fresh("0123456789abcdef", 32) for _ in range(100)] + ["AKIA" + fresh(digits, 16) for _ in range(100)],
+        "person": [f"{g} {f}" for names in pii.NAMES.values() for g in names for f in ("Kowalska", "Smith", "Öztürk", "Иванов", "Li")] + [f"Mr {fresh(letters, 4).title()}" for _ in range(300)] + [a + b for a in "王李张" for b in ("明", "小明", "丽")],
+    }
+    for kind, texts in every.items():
+        texts = sorted(set(texts))
+        new = [pii.surrogate(kind, t, key) for t in texts]
+        assert len(set(new)) == len(texts), kind
+        assert all(a != b and len(a) == len(b) for a, b in zip(texts, new, strict=True) if kind not in ("ip", "person")) and not {a for a, b in zip(texts, new, strict=True) if a == b}, kind
+        assert new == [pii.surrogate(kind, t, key) for t in texts] != [pii.surrogate(kind, t, b"other") for t in texts]
+    valid = lambda x: int(x[2:4]) == pii.iban_check(x[:2], x[4:])
+    assert [valid(x) for x in every["iban"]] == [valid(pii.surrogate("iban", x, key)) for x in every["iban"]] and valid("GB82WEST12345698765432")
+    assert [pii.luhn(c) for c in every["card"]] == [pii.luhn(pii.surrogate("card", c, key)) for c in every["card"]]
+    assert pii.surrogate("person", "Mr ⅷ", key) != "Mr ⅷ" and pii._like("--", key, "card", bool).startswith("card-")  # nothing to permute: a keyed token
 
 
 def test_pii_leaves_no_name():
+    key = b"k"
     for size in (2, 3, 8, 24, 1000):
         got = [pii.permute(i, size, b"k", b"t") for i in range(size)]
         assert sorted(got) == list(range(size)) and all(a != b for a, b in enumerate(got))
     for (script, _), names in pii.NAMES.items():
         for given in names:
             for family in pii.SURNAMES[script]:
-                new = pii.surrogate("person", f"{given} {family}").split()
+                new = pii.surrogate("person", f"{given} {family}", key).split()
                 assert new[0] != given and new[1] != family
     short = [a + b for a in "ABCDEÖЁ" for b in ("a", "o", "ø", "ё", "å")]
-    assert all(pii.surrogate("person", f"Mr {n}") != f"Mr {n}" for n in short)
-    for text, left in (("met Anna Kowalska today", "Kowalska"), ("Anna Maria Kowalska", "Kowalska"), ("Иван Чехов", "Чехов"), ("Mr Brown", "Brown"), ("Carmen López", "López")):
-        new, said = pii.replaced(text)
-        assert [k for k, _, _ in said] == ["person"] and left not in new
-    assert pii.entities("Anna went home") == [] and pii.entities("a Kowalska") == []
+    assert all(pii.surrogate("person", f"Mr {n}", key) != f"Mr {n}" for n in short)
+    cases = [
+        ("met Anna Kowalska today", ["Kowalska"]), ("Anna Maria Kowalska", ["Maria", "Kowalska"]), ("Иван Чехов", ["Чехов"]), ("Mr Brown", ["Brown"]), ("Carmen López", ["López"]),
+        ("Frau Anna Maria Schmidt", ["Anna", "Maria", "Schmidt"]), ("to Dr. Wolfgang Becker.", ["Wolfgang", "Becker"]), ("Mr Łukasz Öztürk", ["Łukasz", "Öztürk"]), ("Kenji Tanaka", ["Kenji", "Tanaka"]), ("Aisha Khan", ["Aisha", "Khan"]),
+        ("Herr Prof. Hans von der Heide", ["Hans", "Heide"]), ("Jean-Luc Picard", ["Jean", "Luc", "Picard"]), ("Lady Adalind Thornbury", ["Adalind", "Thornbury"]), ("我叫王小明，你好", ["王小明"]), ("请问张丽女士", ["张丽"]),
+    ]
+    for text, left in cases:
+        new, said = pii.replaced(text, key)
+        assert [k for k, _, _ in said] == ["person"] and not [x for x in left if x in new], (text, new)
+    new, said = pii.replaced("Frau Anna Schmidt came. Later Schmidt left, and Anna, too. Frau Schmidt", key)
+    first = said[0][2].split()
+    assert new == f"Frau {first[1]} {first[2]} came. Later {first[2]} left, and {first[1]}, too. Frau {first[2]}"
+    assert pii.entities("Anna went home") == [] and pii.entities("a Kowalska") == [] and pii.entities("今天天气很好，我们去高山") == []
 
 
 def test_decontamination(spark, docs, none, monkeypatch):
