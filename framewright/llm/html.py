@@ -8,6 +8,7 @@ article, sidebars, notices, adverts, forms, comments) leave the tree first. Page
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -37,17 +38,26 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "items", "score", "text", "linked")
+    __slots__ = ("tag", "attrs", "parent", "block", "items", "score", "text", "linked", "said", "commas")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.items = tag, attrs, parent, []
-        self.score, self.text, self.linked = 0.0, 0, 0
+        self.block: Node | None = self if tag in BLOCK or parent is None else parent.block  # the nearest block, or the root
+        self.score, self.text, self.linked, self.said, self.commas = 0.0, 0, 0, 0, 0
 
 
 def parse(html: str) -> Node:
     """A tree of nodes and strings; end tags that are missing are implied, stray ones ignored."""
     root = Node("#root", {}, None)
-    at, pos, n = root, 0, len(html)
+    at, pos, n, open_tags = root, 0, len(html), Counter()
+
+    def up_to(node: Node) -> Node:
+        x = at
+        while x is not node:
+            open_tags[x.tag] -= 1
+            x = x.parent
+        return node
+
     while pos < n:
         m = TOKEN.search(html, pos)
         if m is None:
@@ -60,27 +70,23 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = at
+            up = at if open_tags[tag] else root
             while up is not root and up.tag != tag:
                 if up.tag in ("table", "article", "body") and tag not in ("html", "body", "article", "main", "section", "div"):
                     break
                 up = up.parent
             if up.tag == tag:
-                at = up.parent
+                at = up_to(up.parent)
             continue
-        if tag in BLOCK:
-            up = at
-            while up is not root and up.tag not in BLOCK:
-                up = up.parent
-            if up.tag == "p":  # a block ends an open paragraph, whatever inline tags are open in it
-                at = up.parent
+        if tag in BLOCK and at.block.tag == "p":  # a block ends an open paragraph, whatever inline tags are open in it
+            at = up_to(at.block.parent)
         if tag in CLOSES:
             names, fences = CLOSES[tag]
-            up = at
+            up = at if any(open_tags[x] for x in names.split()) else root
             while up is not root and up.tag not in fences and up.tag not in names.split():
                 up = up.parent
             if up is not root and up.tag in names.split():
-                at = up.parent
+                at = up_to(up.parent)
         node = Node(tag, {k.lower(): (v or "").strip("\"'") for k, v in ATTR.findall(m[3] or "")}, at)
         at.items.append(node)
         if tag in RAW:
@@ -88,6 +94,7 @@ def parse(html: str) -> Node:
             pos = end.end() if end else n
         elif tag not in VOID and not (m[3] or "").endswith("/"):
             at = node
+            open_tags[tag] += 1
     return root
 
 
@@ -126,8 +133,12 @@ def best(root: Node) -> list[Node]:
     """The container with the most points and the siblings that are kept with it, in page order."""
     nodes = _walk(root)
     for x in reversed(nodes):
-        own = sum(len(SPACE.sub(" ", s).strip()) for s in x.items if isinstance(s, str))
-        x.text = own + sum(y.text for y in x.items if not isinstance(y, str))
+        for y in x.items:
+            if isinstance(y, str):
+                line = SPACE.sub(" ", y)
+                x.text, x.said, x.commas = x.text + len(line.strip()), x.said + len(line), x.commas + line.count(",")
+            else:
+                x.text, x.said, x.commas = x.text + y.text, x.said + y.said + (y.tag in BLOCK), x.commas + y.commas
         x.linked = x.text if x.tag == "a" else sum(y.linked for y in x.items if not isinstance(y, str))
     base = {"article": 30.0, "main": 25.0, "section": 3.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "body": 0.0}
     for x in nodes:
@@ -137,8 +148,7 @@ def best(root: Node) -> list[Node]:
         text = x.tag in PARAGRAPH or (x.tag in ("div", "section") and x.text and all(isinstance(y, str) or y.tag not in BLOCK for y in x.items))
         if not text or x.text < 1:
             continue
-        said = _said(x)
-        points = (1 + said.count(",") + min(len(said) / 100, 3.0)) * (1 - x.linked / max(1, x.text)) * min(1.0, len(said) / 25)
+        points = (1 + x.commas + min(x.said / 100, 3.0)) * (1 - x.linked / max(1, x.text)) * min(1.0, x.said / 25)
         up, share = x.parent, 1.0
         for level in range(4):
             if up is None or up.tag in ("#root", "html"):
@@ -216,7 +226,7 @@ def extract(html: str | None) -> str:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, text, n_chars)`` per row of ``pages``; ids and addresses may be null, repeated rows agree, other columns are ignored."""
+    """``(page_id, url, text, n_chars)`` per row of ``pages``; ids and addresses may be null, repeated rows agree, pages are taken whole, no rows give no rows, other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

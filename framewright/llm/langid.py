@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ from framewright.llm.common import crc_mod, group_sums, table
 ORDER = 4
 #: Training documents per language, in expectation: rows are kept by hash with probability bound / count.
 DOCS_PER_LANG = 1500
+#: Languages that share arrays: each n-gram of one of them has a value for all.
+GROUP = 16
 #: Runs of letters in any script.
 LETTERS = re.compile(r"[^\W\d_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -67,7 +70,7 @@ def contexts(words: list[str]) -> list[np.ndarray]:
     return out
 
 
-class Model:
+class Group:
     """Sorted n-gram and context hashes per order with a column of values per language."""
 
     def __init__(self, langs: list[str]):
@@ -78,8 +81,6 @@ class Model:
         self.ctx: list[np.ndarray] = []
         self.left: list[np.ndarray] = []  # share that goes to the shorter context
         self.letters = 1
-        self.heat = 1.0
-        self.limit = np.full(len(langs), np.inf)
 
     @staticmethod
     def find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,16 +96,28 @@ class Model:
             p += np.where(hit[:, None], self.kept[k][at], 0.0)
         return p
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per word: log2 probability in each language, and letters."""
-        gs, sizes = grams(words)
+    def logs(self, gs: list[np.ndarray], cs: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+        """Per word: log2 probability in each language."""
         at, hit = self.find(self.keys[-1], gs[-1])
         p = self.full[at]
         if not hit.all():
             miss = np.flatnonzero(~hit)
-            cs = contexts(words)
             p[miss] = self.probabilities([g[miss] for g in gs], [c[miss] for c in cs])
-        return group_sums(np.log2(p), sizes), sizes
+        return group_sums(np.log2(p), sizes)
+
+class Model:
+    """The languages in groups that share arrays, so that memory follows the languages, however many, and not their square."""
+
+    def __init__(self, groups: list[Group]):
+        self.groups = groups
+        self.langs = [x for g in groups for x in g.langs]
+        self.heat = 1.0
+        self.limit = np.full(len(self.langs), np.inf)
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Per word: log2 probability in each language, and letters."""
+        (gs, sizes), cs = grams(words), contexts(words)
+        return np.concatenate([g.logs(gs, cs, sizes) for g in self.groups], axis=1), sizes
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Per text: cross-entropy per letter in each language (0 without letters), and letters."""
@@ -123,23 +136,29 @@ class Model:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
         bits, letters = self.texts(texts)
         best = bits.argmin(axis=1)
-        e = np.exp2(-self.heat * np.minimum(letters, 200)[:, None] * (bits - bits.min(axis=1, keepdims=True)))
+        e = np.exp2(-self.heat * np.sqrt(letters)[:, None] * (bits - bits.min(axis=1, keepdims=True)))
         sure = np.where(letters > 0, 1 / e.sum(axis=1), 0.0)
         low = bits[np.arange(len(texts)), best]
         pred = [self.langs[b] if n else "und" for b, n in zip(best, letters, strict=True)]
         return pred, sure, np.where(letters > 0, low, 0.0), (letters == 0) | (low > self.limit[best])
 
 
-def build(counts: dict[str, Counter], langs: list[str]) -> Model:
-    """Kneser-Ney tables from weighted words per language: {language: {word: count}}."""
-    m = Model(langs)
+def build(counts: dict[str, Counter], langs: list[str], size: int = GROUP) -> Model:
+    """Models from weighted words per language: {language: {word: count}}."""
+    letters = max([1, *(len(np.unique(grams(list(counts[x]))[0][0])) for x in langs)])
+    return Model([_group(counts, langs[k : k + size], letters) for k in range(0, len(langs), size)])
+
+
+def _group(counts: dict[str, Counter], langs: list[str], letters: int) -> Group:
+    """Kneser-Ney tables of some languages."""
+    m = Group(langs)
+    m.letters = letters
     per = []
     for lang in langs:
         words = list(counts[lang])
         weight = np.array([counts[lang][w] for w in words], dtype=np.float64)
         gs, sizes = grams(words)
         per.append((gs, contexts(words), np.repeat(weight, sizes)))
-    m.letters = max([1, *(len(np.unique(g[0])) for g, _, _ in per)])
     m.keys = [np.unique(np.concatenate([g[k] for g, _, _ in per] or [np.zeros(0, np.uint64)])) for k in range(ORDER)]
     m.ctx = [np.unique(np.concatenate([c[k] for _, c, _ in per] or [np.zeros(0, np.uint64)])) for k in range(ORDER)]
     m.kept = [np.zeros((len(k), len(langs))) for k in m.keys]
@@ -173,19 +192,17 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
     """Models from a bounded sample of documents whose crc32(doc_id) mod 4 is not 2 and whose language is known.
 
     The sample's word counts are added up in Spark, per language; odd documents (by hash) calibrate the
-    score's sharpness and each language's rejection limit, the rest make the n-grams.
+    score's sharpness and each language's rejection limit, the rest make the n-grams. No rows, no languages.
     """
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(
         (crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(500).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     if not sizes:
         return build({}, [])
-    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, int(1_000_000 * min(1.0, docs_per_lang / n))).otherwise(share)
-    sample = known.where(place < share).select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(8)).alias("fold"))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1_000_000))
+    shares = F.create_map(*chain.from_iterable((F.lit(lang), F.lit(int(1_000_000 * min(1.0, docs_per_lang / n)))) for lang, n in sizes.items()))
+    sample = known.where(place < shares[F.col("lang")]).select("lang", "text", F.pmod(F.xxhash64("doc_id", "text", F.lit(12)), F.lit(8)).alias("fold"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
@@ -208,9 +225,9 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
         truth = np.array([model.langs.index(x) for x in tune["lang"]])
         full = letters > 0
         if full.any():
-            gap = (bits - bits.min(axis=1, keepdims=True))[full] * np.minimum(letters[full], 200)[:, None]
+            gap = (bits - bits.min(axis=1, keepdims=True))[full] * np.sqrt(letters[full])[:, None]
             loss = lambda heat: -np.mean((-heat * gap)[np.arange(len(gap)), truth[full]] * np.log(2) - np.log(np.exp2(-heat * gap).sum(axis=1)))
-            model.heat = float(min((0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0), key=loss))
+            model.heat = float(min((0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0), key=loss))
             for k in range(len(model.langs)):
                 own = bits[full & (truth == k), k]
                 if len(own):
@@ -223,7 +240,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     ``und`` (score 0, rejected) for texts that are null or have no letter; ``rejected`` also marks texts whose
     cross-entropy per letter is beyond the calibrated limit of their language. Nothing else is read from a row
-    than its text, so repeated rows agree; a null id counts as the empty text in ``held_out``.
+    than its whole text, so repeated rows agree; a null id counts as the empty text in ``held_out``; no rows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

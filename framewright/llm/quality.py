@@ -50,7 +50,7 @@ def statistics(raw: bytes) -> list[float]:
     for at in range(0, len(words), 40):
         part = words[at : at + 40]
         if len(part) < 12 and at:
-            break
+            part = words[-40:]
         b = b" ".join(part)
         k = len(b) or 1
         worst[0] = max(worst[0], (b.count(b"#") + b.count(b"&") + b.count(b"$") + b.count(b"%") + b.count(b"*")) / k)
@@ -150,11 +150,15 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, rate: fl
     return Forest(ints(feature), np.array(cut or [0.0]), ints(left), ints(right), np.array(value or [0.0]), ints(roots), base, depth)
 
 
+def _marked(labels: DataFrame, max_rows: int) -> DataFrame:
+    """``(doc_id, y)``: ``max_rows`` labels at most of documents whose crc32(doc_id) mod 5 is not 0."""
+    marked = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    return marked.where(crc_mod("doc_id", 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
+
+
 def learn(measured: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Forest:
     """Fit on at most ``max_rows`` labelled documents whose crc32(doc_id) mod 5 is not 0."""
-    marked = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    marked = marked.where(crc_mod("doc_id", 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
-    rows = measured.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows).select("x", "y").toPandas()
+    rows = measured.join(_marked(labels, max_rows), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows).select("x", "y").toPandas()
     x = np.stack([np.asarray(v, dtype=np.float32) for v in rows["x"]]).astype(np.float64) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x, rows["y"].to_numpy(dtype=np.float64))
 
@@ -174,8 +178,8 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
     """``(doc_id, held_out, score, predicted)``: one row per row of ``docs``.
 
     Null and empty texts are scored on zero features; a null id is kept and belongs to no training row;
-    repeated rows each get the same score; without any labelled row every score is 0.5. Other columns
-    are ignored.
+    repeated rows each get the same score; without any labelled row every score is 0.5. Texts are taken whole, however long;
+    other columns are ignored; no rows give no rows.
     """
     measured = written(features(docs), "features")
     out = score(measured, learn(measured, labels, max_rows))
@@ -183,8 +187,10 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the classifier does not reject."""
-    forest = learn(written(features(docs), "features"), labels, max_rows)
+    """The rows of ``docs``, with all their columns, that the classifier does not reject. Only texts that the trees are fitted on are measured twice."""
+    few = _marked(labels, max_rows).select("doc_id").distinct()  # max_rows ids at most
+    fitted = docs.join(F.broadcast(few), docs["doc_id"].cast("long") == few["doc_id"], "left_semi")
+    forest = learn(features(fitted), labels, max_rows)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

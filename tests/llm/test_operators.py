@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -81,6 +82,12 @@ def test_language(spark, docs, none, rows):
     assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (300, 301, 302, 303))
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert langid.identify(none, model).count() == 0 and {r["lang_pred"] for r in langid.identify(docs, langid.train(none)).collect()} == {"und"}
+    # more languages than share arrays: the same decisions whatever the groups
+    rng = random.Random(1)
+    many = {f"l{k:03d}": Counter({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))): 1 + rng.randrange(5) for _ in range(40)}) for k in range(700)}
+    texts = [" ".join(list(many[x])[:25]) for x in sorted(many)[::7]]
+    one, two = (langid.build(many, sorted(many), size) for size in (700, 16))
+    assert one.decide(texts)[0] == two.decide(texts)[0] == sorted(many)[::7] and np.allclose(one.texts(texts)[0], two.texts(texts)[0])
     # a model is a distribution over words: all words of up to seven letters have nearly all of the mass
     m = langid.build({"x": Counter({"ab": 3, "ba": 2, "a": 9, "b": 4})}, ["x"])
     every = ["".join(c) for n in range(1, 8) for c in itertools.product("ab", repeat=n)]
@@ -469,6 +476,12 @@ def test_html(spark):
     assert html.extract(page) == "T & U One, two, three four Five."
     rows = [(0, "u", page), (1, None, None), (2, "u", ""), (3, "u", "<<<>"), (4, "u", "plain text"), (None, "u", page), (5, "u", "<div>" * 3000 + "deep")]
     got = {r["page_id"]: r for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for deep in ("<ul><li>a, b " * 4500, "<blockquote>x, y. " * 3500, "<b>" * 9000 + "<p>x" * 2000, "</foo>" * 9000 + "<i>" * 9000 + "</foo>" * 9000):
+        began = time.process_time()
+        html.extract(deep)
+        assert time.process_time() - began < 4  # in proportion to the page, however deep
+    long = "<article>" + "<p>One, two, three and four.</p>" * 20_000 + "</article><footer>x</footer>"
+    assert html.extract(long) == " ".join(["One, two, three and four."] * 20_000)
     assert [got[k]["text"] for k in (1, 2, 4)] == ["", "", "plain text"] and all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
