@@ -1,6 +1,7 @@
 """Edge cases of every operator on one small table, and brute-force versions or held-out scores of each."""
 
 import itertools
+import math
 import random
 import re
 import time
@@ -112,19 +113,79 @@ def test_pitman_yor(docs, none, rows):
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     assert pitman_yor.scored(none).count() == 0
-    rng = np.random.default_rng(1)
-    t = np.array([pitman_yor.seat(np.array([200]), np.array([3.0]), 0.0, rng)[0] for _ in range(300)])
-    want = 1 + sum(3 / (3 + i) for i in range(1, 200))  # tables of a restaurant without discount
-    assert abs(t.mean() - want) < 1.0
+
+
+def partitions(n):
+    """Set partitions of n things, as lists of block sizes."""
+    if n == 0:
+        yield []
+        return
+    for p in partitions(n - 1):
+        for i in range(len(p)):
+            yield [*p[:i], p[i] + 1, *p[i + 1 :]]
+        yield [*p, 1]
+
+
+def test_pitman_yor_posterior():
+    """Gibbs sweeps over a word in two contexts, against the posterior by enumeration of all seatings."""
+    d, d0, n, others, total = 0.6, 0.3, (5, 4), (3.0, 2.0), 9.0
+    rising = lambda x, k: np.prod([x + i for i in range(k)])
+    shape = lambda p: np.prod([rising(1 - d, s - 1) for s in p])
+    want = Counter()
+    for p, q in itertools.product(partitions(n[0]), partitions(n[1])):
+        t = len(p), len(q)
+        new = np.prod([np.prod([1 + d * (o + i) for i in range(k)]) for o, k in zip(others, t, strict=True)])
+        want[t] += shape(p) * shape(q) * new * rising(1 - d0, sum(t) - 1) / rising(1 + total, sum(t))
+    scale = sum(want.values())
+    copies, rng = 4000, np.random.default_rng(1)
+    sizes, k, ns = np.full(copies, 2), np.tile([0, 1], copies), np.tile(n, copies)
+    t, opened, seen = np.ones(2 * copies, dtype=np.int64), np.zeros(0, dtype=np.int64), Counter()
+
+    for sweep in range(25):
+        m = pitman_yor.group_sums(t, sizes)
+        for j in (0, 1):
+            at = np.arange(j, 2 * copies, 2)
+            edges = np.cumsum(t - 1) - (t - 1)
+            rows = np.repeat(np.arange(len(t)), t - 1)
+            old = opened[np.repeat(edges[at], t[at] - 1) + pitman_yor.spans(t[at] - 1)[1]]
+            seats = pitman_yor.Seats(np.full(copies, 1 + d * others[j]), (m - t[at]).astype(float), 1 + total + (m - t[at]).astype(float), d, d0)
+            new, places = seats.reseat(ns[at], t[at], old, rng)
+            keep = ~np.isin(rows, at)
+            order = np.argsort(np.r_[rows[keep], np.repeat(at, new - 1)], kind="stable")
+            opened = np.r_[opened[keep], places][order]
+            m += new - t[at]
+            t[at] = new
+        if sweep >= 5:
+            seen.update(map(tuple, t.reshape(-1, 2).tolist()))
+    for x, w in want.items():
+        assert abs(seen[x] / (20 * copies) - w / scale) < 0.01, x
+    # the plan's own sweep keeps tables and openings in step
+    now = pitman_yor.State(np.r_[np.full(pitman_yor.CONTEXTS, 50.0), np.full(pitman_yor.CONTEXTS, 20.0), 30, 10, 4, 9, 3])
+    sizes = rng.integers(1, 6, 300)
+    n = rng.integers(1, 40, sizes.sum()) ** 2
+    t, opened = np.ones(len(n), dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for _ in range(3):
+        t, opened = pitman_yor.resampled(sizes, rng.integers(0, 41, len(n)), n, t, opened, now, rng)
+        row, _ = pitman_yor.spans(t - 1)
+        assert len(opened) == (t - 1).sum() and (t <= n).all() and (opened >= 1).all() and (opened < n[row]).all()
+        assert (np.diff(opened)[row[1:] == row[:-1]] > 0).all()
+    x = np.array([0.1, 0.5, 1, 3.3, 7.9, 8, 100, 1e7])
+    assert np.allclose(pitman_yor.lgamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-11)
 
 
 def test_pitman_yor_blocks(docs):
     whole = sorted(map(repr, pitman_yor.scored(docs).drop("score").collect()))
     cut = pitman_yor.scored(docs, most=(7, 2_000))
     assert sorted(map(repr, cut.drop("score").collect())) == whole and cut.where("score < 0").count() == len(whole)
-    runs, raw = pitman_yor.Runs(7, 2_000), [b"x" * n for n in (900, 900, 900, 5_000, 1, 1, 1, 1, 1, 1, 1, 1)]
-    batch = pitman_yor.pa.RecordBatch.from_pydict({"row": list(range(10, 22)), "raw": raw})
+    runs, raw = pitman_yor.Runs(7, 2_000), ["x" * n for n in (900, 900, 900, 5_000, 1, 1, 1, 1, 1, 1, 1, 1)]
+    batch = pitman_yor.pa.RecordBatch.from_pydict({"row": list(range(10, 22)), "text": raw})
     assert runs.of(batch).tolist() == [10, 10, 12, 13, *[14] * 7, 21]
+    texts = [" The  cat\x0b\nÄ the\x1cx ", None, "", "a\tb\fa"]
+    codes, words, counts = pitman_yor.coded(pitman_yor.pa.array(texts))
+    assert [words[c] for c in codes] == [w for t in texts for w in pitman_yor.tokens(None if t is None else t.encode())] and counts.tolist() == [5, 1, 1, 4]
+    for n in (3, 300, 70_000, 2**24 + 5):
+        x = np.array([0, 1, 2, n - 1], dtype=np.int32)
+        assert (pitman_yor.unpacked(pitman_yor.packed(x)) == x).all()
 
 
 def test_mixing(spark, docs, none, rows):
