@@ -36,20 +36,25 @@ def scratch(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, reread: its lineage is cut and survives lost executors."""
+def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, reread: its lineage is cut and survives lost executors.
+
+    ``by`` is a column with few values; the rows of each have a folder that can be dropped on its own.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._framewright_path = path
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Remove a table made by ``written`` that no later plan reads."""
+def dropped(df: DataFrame, part: str = "") -> None:
+    """Remove a table made by ``written``, or a part ``column=value`` of it, that no later plan reads."""
     path = getattr(df, "_framewright_path", None)
     if path:
+        path = f"{path}/{part}" if part else path
         spark = df.sparkSession
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
