@@ -44,7 +44,16 @@ def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{what}-{uuid.uuid4().hex}"
     out = df.write.option("compression", "zstd")
-    (out.partitionBy(by) if by else out).parquet(path)
+    if by:
+        setting = "spark.sql.maxConcurrentOutputFileWriters"  # a writer per value: the rows need no sort
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, "16")
+        try:
+            out.partitionBy(by).parquet(path)
+        finally:
+            spark.conf.set(setting, before)
+    else:
+        out.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._framewright_path = path
     return out
