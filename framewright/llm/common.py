@@ -119,7 +119,7 @@ def one_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     odd = written(per.join(best, "root").select(F.col("doc_id").alias("o"), F.col("h").alias("oh"), F.col("g").alias("og"), "n", kept.alias("stays")).where("not stays or n > 1"), "odd")
     keyed = maybe(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("i"), *text_key()), filter_of(odd, "o", "oh"), "i", "h")
     same = F.col("i").eqNullSafe(F.col("o")) & (F.col("h") == F.col("oh")) & (F.col("g") == F.col("og"))
-    held = keyed.where("maybe").join(odd, same, "left").where("stays is null or stays")
+    held = keyed.where("maybe").join(odd.hint("merge"), same, "left").where("stays is null or stays")
     held = held.groupBy("i", "h", "g").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return keyed.where("not maybe").select("row.*").unionByName(held.select("row.*"))
 

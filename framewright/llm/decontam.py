@@ -10,11 +10,10 @@ space: they are checked wherever enough of their words, common ones too, are clo
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +44,11 @@ MOST = 2 * PASSAGE
 ITEMS = 50_000
 #: Cosines that are held at a time.
 CELLS = 1 << 22
-WORDS = re.compile(r"\w+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    """Runs of letters, digits and underscores in lower case, a sigma being one letter at the end of a word, too."""
+    return Words(pa.array([text], type=pa.string())).of(0) if text else []
 
 
 def lcs(a: list, b: list) -> int:
@@ -74,35 +73,25 @@ def alike(a: list[str], b: list[str]) -> float:
 
 
 class Words:
-    """The words of a batch of texts as numbers: ``first`` has where each text begins in the run of all words (and the end).
-
-    Only distinct runs without white space are cut into words, so a frequent word is looked at once a batch.
-    """
+    """The words of a batch of texts, cut by Arrow: ``first`` has where each text begins in the run of all words (and the end)."""
 
     def __init__(self, texts: pa.Array):
-        self.texts = texts
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        flat = lists.flatten().dictionary_encode()
-        at, names = flat.indices.to_numpy(zero_copy_only=False), {}
-        cut = [WORDS.findall(t.lower()) for t in flat.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-        code = np.fromiter((names.setdefault(w, len(names)) for w in chain.from_iterable(cut)), dtype=np.int32, count=int(sizes.sum()))
-        owner, k = spans(sizes[at])
-        self.code = code[(np.cumsum(sizes) - sizes)[at][owner] + k] if len(owner) else np.zeros(0, np.int32)
-        self.names = list(names)
-        self.first = np.r_[0, np.cumsum(group_sums(sizes[at], np.diff(lists.offsets.to_numpy())))]
+        lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL\pN_]+")
+        flat = lists.flatten()
+        full = pc.greater(pc.binary_length(flat), 0)
+        self.words = flat.filter(full)
+        self.first = np.r_[0, np.cumsum(group_sums(full.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(lists.offsets.to_numpy())))]
         self._split: dict[int, list[str]] = {}
 
-    def among(self, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    def among(self, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The places and numbers of the words that are terms."""
-        look = np.fromiter(map(terms.get, self.names, repeat(-1)), dtype=np.int32, count=len(self.names))
-        code = look[self.code]
+        code = pc.fill_null(pc.index_in(self.words, terms), -1).to_numpy(zero_copy_only=False)
         at = np.flatnonzero(code >= 0)
         return at, code[at]
 
     def of(self, text: int) -> list[str]:
         if text not in self._split:
-            self._split[text] = [self.names[k] for k in self.code[self.first[text] : self.first[text + 1]]]
+            self._split[text] = self.words.slice(self.first[text], self.first[text + 1] - self.first[text]).to_pylist()
         return self._split[text]
 
 
@@ -114,7 +103,7 @@ def parts_of(words: list[str]) -> list[list[str]]:
 
 @dataclass
 class Index:
-    terms: dict[str, int]
+    names: pa.Array  # the terms
     vectors: np.ndarray  # term x rank, with idf
     items: np.ndarray  # item part x rank, unit length
     ids: list[int | None]
@@ -126,7 +115,7 @@ class Index:
 
     def passages(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Of all texts: which text each passage with terms is of, its first word, its unit vector and its terms."""
-        first, (at, term) = words.first, words.among(self.terms)
+        first, (at, term) = words.first, words.among(self.names)
         size = np.diff(first)
         strides = -(-size // STEP)  # a passage is two strides; a text of one stride is a passage
         text, nth = spans(strides)
@@ -184,7 +173,7 @@ class Index:
         if not self.weak:
             return
         named = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(self.words[i] for i in self.weak)))}
-        first, (at, code) = words.first, words.among(named)
+        first, (at, code) = words.first, words.among(pa.array(list(named)))
         for i in self.weak:
             n = len(self.words[i])
             own = np.zeros(len(named), dtype=bool)
@@ -225,11 +214,11 @@ def _frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, in
     """In how many passages of all documents each term is, and how many passages there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, total = np.zeros(len(terms) + 1, dtype=np.int64), 0
+        df, total, names = np.zeros(len(terms) + 1, dtype=np.int64), 0, pa.array(list(terms), type=pa.string())
         for b in batches:
             for lo in range(0, len(b), 500):
                 words = Words(b.column("text").slice(lo, 500))
-                first, (at, term) = words.first, words.among(terms)
+                first, (at, term) = words.first, words.among(names)
                 passages = -(-np.diff(first) // PASSAGE)
                 total += int(passages.sum())
                 owner = np.searchsorted(first, at, side="right") - 1
@@ -329,7 +318,7 @@ def index(docs: DataFrame, items: list[tuple[int | None, str]]) -> Index | None:
             unit[k] = v / max(1e-9, np.linalg.norm(v))
     sets = [frozenset(terms[w] for w in ws if w in terms) for ws in words]
     weak = [k for k, (s, ws) in enumerate(zip(sets, words, strict=True)) if len(s) < min(LEAST, len(set(ws))) or len(s) < KEPT * len(set(ws))]
-    return Index(terms, vectors, unit, ids, [k for k, _, _ in cut], [x for _, x, _ in cut], words, sets, weak)
+    return Index(pa.array(list(terms), type=pa.string()), vectors, unit, ids, [k for k, _, _ in cut], [x for _, x, _ in cut], words, sets, weak)
 
 
 def indices(docs: DataFrame, benchmark: DataFrame) -> list[Index]:

@@ -467,7 +467,7 @@ def test_decontamination_of_long_items(spark, docs):
     for n in range(5):
         t = [" ".join(fresh(n)) + "\u2003Straße ΟΔΟΣ, x_1\u00a0y\n" * n, None, ""]
         w = decontam.Words(decontam.pa.array(t, type=decontam.pa.string()))
-        assert [w.of(i) for i in range(3)] == [decontam.words_of(x) for x in t]
+        assert [w.of(i) for i in range(3)] == [re.findall(r"\w+", (x or "").lower().replace("ς", "σ")) for x in t]
 
 
 def test_passages(spark, docs, none):
