@@ -294,11 +294,11 @@ def index(docs: DataFrame, items: list[tuple[int | None, str]]) -> Index | None:
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for h, text in zip(b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ws = words_of(text)
-                for p in np.flatnonzero(np.random.default_rng(h & 0xFFFFFFFF).random(-(-len(ws) // PASSAGE)) < share / some_docs):
-                    row = tfidf(ws[p * PASSAGE : (p + 1) * PASSAGE])
+            rows, some = [], Words(b.column("text"))
+            for k, h in enumerate(b.column("h").to_pylist()):
+                n = int(some.first[k + 1] - some.first[k])
+                for p in np.flatnonzero(np.random.default_rng(h & 0xFFFFFFFF).random(-(-n // PASSAGE)) < share / some_docs):
+                    row = tfidf(some.of(k)[p * PASSAGE : (p + 1) * PASSAGE])
                     if row:
                         rows.append(row)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.list_(pa.int32())), pa.array([r[1] for r in rows], type=pa.list_(pa.float64()))], names=["ts", "ws"])
