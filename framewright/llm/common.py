@@ -69,6 +69,15 @@ def dropped(df: DataFrame, part: str = "") -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Narrow rows of a partition that is written, at least: a small table needs no file for every shuffle partition.
+PER_FILE = 1 << 18
+
+
+def packed(df: DataFrame, most: int) -> DataFrame:
+    """``df``, of ``most`` narrow rows at most, in no more partitions than PER_FILE rows to each need. Nothing is shuffled; large tables stay as they are."""
+    return df.coalesce(max(1, -(-most // PER_FILE)))
+
+
 def released(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished jobs now: it does so once their plans are collected as garbage."""
     gc.collect()
@@ -147,7 +156,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected long edges ``(a, b)`` as ``(node, component)``, the smallest node.
 
     Alternating large-star and small-star rounds; each round is a written table. Minima are partial
-    aggregates; the joins of edges with minima have two plain shuffled sides, so adaptive execution
+    aggregates; tables are written in partitions for their rows; the joins of edges with minima have two plain shuffled sides, so adaptive execution
     splits the rows of a hub. Nodes without an edge have no row. Self loops and null ends are ignored.
     """
     spark = edges.sparkSession
@@ -157,14 +166,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen["n"] == 0 or (seen["n"], seen["h"]) == mark:
             break
-        mark = (seen["n"], seen["h"])
+        mark, most = (seen["n"], seen["h"]), 2 * seen["n"]
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        least = written(packed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), most), "least")
+        large = written(packed(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), most), "large")
+        low = written(packed(large.groupBy("a").agg(F.min("b").alias("m")), most), "low")
         pairs = large.join(low, "a")
         star = pairs.select("a", F.col("m").alias("b")).unionByName(pairs.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        after = written(star.distinct(), "edges")
+        after = written(packed(star.distinct(), most), "edges")
         for old in (now, least, large, low):
             dropped(old)
         now = after

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.common import components, dropped, group_sums, one_each, spans, table, text_key, written
+from framewright.llm.common import components, dropped, group_sums, one_each, packed, spans, table, text_key, written
 
 SHINGLE = 4
 DISTANCE = 4
@@ -260,12 +260,13 @@ def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _grouped(docs: DataFrame, k: int) -> DataFrame:
     """``(doc_id, h, g, fp, component_id, root)``: ``text_key`` and the group, too."""
     rows = written(fingerprinted(docs, k), "fingerprints")
-    points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "points")
+    most = rows.count()
+    points = written(packed(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), most), "points")
     found = components(links(points.select("fp")))
     named = points.join(found, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
-    named = written(named, "roots")
+    named = written(packed(named, most), "roots")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = written(named.join(lowest, "root").select("fp", "component_id", "root"), "by-fp")
+    by_fp = written(packed(named.join(lowest, "root").select("fp", "component_id", "root"), most), "by-fp")
     for old in (points, named):
         dropped(old)
     return rows.join(by_fp, "fp").select("doc_id", "h", "g", "fp", "component_id", "root")
