@@ -303,8 +303,9 @@ def test_shingles(spark, docs, none, monkeypatch):
     near = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[0:80:2], sets[1:80:2], strict=True)]
     assert near == [bool(i % 2) for i in range(40)]
     want = {i for i in range(80) if not (i % 4 == 3)} | {100, 103}
-    for block in (4000, 2):
+    for block, most in ((4000, 1 << 20), (1, 1 << 20), (4000, 250)):
         monkeypatch.setattr(shingles, "BLOCK", block)
+        monkeypatch.setattr(shingles, "MOST", most)
         assert {r["doc_id"] for r in shingles.first_of_each(d).collect()} == want
     assert len({r["doc_id"] for r in simhash.first_of_each(d, 5).collect()} & set(range(3, 80, 4))) > 10  # what 4 bits leave
     assert shingles.first_of_each(docs).columns == docs.columns and shingles.grouped(none).count() == 0
