@@ -261,7 +261,7 @@ def _grouped(docs: DataFrame, k: int) -> DataFrame:
     """``(doc_id, h, g, fp, component_id, root)``: ``text_key`` and the group, too."""
     rows = written(fingerprinted(docs, k), "fingerprints")
     most = rows.count()
-    points = written(packed(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), most), "points")
+    points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "points")  # each goes to many anchors: not packed
     found = components(links(points.select("fp")))
     named = points.join(found, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     named = written(packed(named, most), "roots")
