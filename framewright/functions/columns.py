@@ -80,6 +80,12 @@ def lerp(a: str, b: str, f: Column) -> Column:
     return F.zip_with(a, b, lambda u, v: u + (v - u) * f)
 
 
+def rounded(v: Column, places: int) -> Column:
+    """A double to so many places by its scaled value, as SQL engines do: ``F.round`` goes by the decimals it is shown with, which may be a tie that it isn't."""
+    out = F.round(v * F.lit(10.0**places)) / F.lit(10.0**places)
+    return F.when(F.abs(out) < F.lit(math.inf), out).otherwise(v)
+
+
 def db_to_linear(db: Column) -> Column:
     return F.pow(F.lit(10.0), db / 20)
 

@@ -184,7 +184,7 @@ def frame_grid_start(spark, sf_dir):
 def bin_power(spark, sf_dir):
     """Samples binned on a regular grid; squares of hundredths add up exactly."""
     e = grid.binned(_events(spark, sf_dir), "t", _STEP).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
-    return e.groupBy("id", "bin").agg(F.round(F.sum(F.col("cents") * F.col("cents")).cast("double") / 10000 / 1536, 6).alias("power"))
+    return e.groupBy("id", "bin").agg(C.rounded(F.sum(F.col("cents") * F.col("cents")).cast("double") / 10000 / 1536, 6).alias("power"))
 
 
 @query(
