@@ -436,6 +436,29 @@ def test_decontamination(spark, docs, none, monkeypatch):
         assert decontam.lcs(x, y) == t[-1, -1]
 
 
+def test_decontamination_space_of_all_passages(spark):
+    """The latent space is that of all passages: as a dense range finder over every one of them has it."""
+    rng = random.Random(12)
+    items = [(i, " ".join(f"w{40 * i + j}" for j in range(40))) for i in range(50)]
+    rows = [(i, " ".join(f"w{(40 * rng.randrange(50) + rng.randrange(rng.randrange(1, 41))) % 2000}" for _ in range(rng.randrange(5, 30)))) for i in range(9_000)]
+    ix = decontam.index(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), items)
+    names = {w: k for k, w in enumerate(ix.names.to_pylist())}
+    a = np.zeros((len(rows) + len(items), len(names)))
+    for r, (_, t) in enumerate(rows + items):
+        for w in t.split():
+            if w in names:
+                a[r, names[w]] += 1
+    a *= np.log((len(rows) + 2) / ((a[: len(rows)] > 0).sum(axis=0) + 1))
+    a /= np.maximum(1e-9, np.linalg.norm(a, axis=1, keepdims=True))
+    a[len(rows) :] *= (len(rows) / len(items)) ** 0.5
+    q = np.linalg.qr(np.random.default_rng(7).normal(size=(len(names), decontam.RANK + decontam.OVERSAMPLE)))[0]
+    for _ in range(decontam.POWER):
+        q = np.linalg.svd(a.T @ (a @ q), full_matrices=False)[0]
+    want = a[len(rows) :] @ q[:, : decontam.RANK]
+    want /= np.maximum(1e-9, np.linalg.norm(want, axis=1, keepdims=True))
+    assert np.abs(ix.items @ ix.items.T - want @ want.T).max() < 0.01
+
+
 def test_decontamination_of_frequent_items(spark):
     """An item that a third of all documents hold, and items in three documents of a small table."""
     rng = random.Random(4)
