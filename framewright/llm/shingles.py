@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.common import components, dropped, filter_of, maybe, one_each, packed, text_key, written
-from framewright.llm.simhash import shingle_hashes
+from framewright.llm.simhash import fingerprints, links, shingle_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 5
@@ -48,15 +48,17 @@ def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return points.view(np.int64), keys.view(np.int64)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], prints: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, len(b), 200):
             part = b.slice(lo, 200)
-            sets = shingle_sets(part.column("raw").to_pylist())
+            raws = part.column("raw").to_pylist()
+            sets = shingle_sets(raws)
             points, keys = sketches(sets)
+            fps = pa.array(fingerprints(raws).view(np.int64)) if prints else pa.nulls(len(raws), pa.int64())
             lists = pa.array([k.tolist() if len(s) else [] for s, k in zip(sets, keys, strict=True)], type=pa.list_(pa.int64()))
             sizes = pa.array([len(s) for s in sets], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "h", "g")), pa.array(points), sizes, lists], names=["doc_id", "h", "g", "point", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "h", "g")), pa.array(points), fps, sizes, lists], names=["doc_id", "h", "g", "point", "fp", "size", "keys"])
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,25 +99,36 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of their bucket and blocks: the links of each. One is held at a time."""
     key, points, sets = None, [], []
 
-    def links() -> list[tuple[int, int]]:
+    def held() -> list[tuple[int, int]]:
         return [(points[i], points[j]) for i, j in spanning(sets)] if len(sets) > 1 else []
 
     for b in batches:
         found = []
         for k, p, m in zip(zip(*(b.column(c).to_pylist() for c in ("key", "i", "j")), strict=True), b.column("point").to_pylist(), b.column("members").to_pylist(), strict=True):
             if k != key:
-                found += links()
+                found += held()
                 key, points, sets = k, [], []
             points.append(p), sets.append(np.frombuffer(m, dtype="<u4"))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
-    found = links()
+    found = held()
     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
-    """``(doc_id, h, g, point, component_id, root)``: ``text_key`` and the group, too."""
+def _by_fingerprint(pairs: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that connect the points ``(point, fp)`` whose fingerprints ``simhash`` links."""
+    prints = written(pairs.select("fp").distinct(), "prints")  # each goes to many anchors: not packed
+    found = components(links(prints))
+    named = pairs.join(found, F.col("fp") == F.col("node"), "left").select("point", F.coalesce("component", "fp").alias("group"))
+    least = named.groupBy("group").agg(F.min("point").alias("b"))
+    edges = written(named.join(least, "group").where("point <> b").select(F.col("point").alias("a"), "b"), "by-print")
+    dropped(prints)
+    return edges
+
+
+def _grouped(docs: DataFrame, prints: bool = False) -> DataFrame:
+    """``(doc_id, h, g, point, component_id, root)``: ``text_key`` and the group, too. With ``prints`` what ``simhash`` links is linked, too."""
     texts = docs.select(F.col("doc_id").cast("long"), *text_key(), F.col("text").cast("binary").alias("raw"))
-    rows = written(texts.mapInArrow(_sketched, "doc_id long, h long, g long, point long, size long, keys array<long>"), "sketches")
+    rows = written(texts.mapInArrow(lambda batches: _sketched(batches, prints), "doc_id long, h long, g long, point long, fp long, size long, keys array<long>"), "sketches")
     most = rows.count()
     points = written(packed(rows.groupBy("point").agg(F.min("doc_id").alias("low"), F.min("size").alias("size"), F.min("keys").alias("keys")), most), "points")
     visits = points.select("point", "low", "size", F.explode("keys").alias("key"))
@@ -134,7 +147,13 @@ def _grouped(docs: DataFrame) -> DataFrame:
     dealt = met.select("key", "point", mine.alias("p"), F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("q"))
     dealt = dealt.select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "point")
     edges = dealt.join(found, "point").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked, "a long, b long")
+    if prints:
+        pairs = written(packed(rows.select("point", "fp").distinct(), most), "pairs")
+        more = _by_fingerprint(pairs)
+        edges = edges.unionByName(more)
     joined = components(edges)
+    if prints:
+        dropped(pairs), dropped(more)
     roots = points.join(joined, F.col("point") == F.col("node"), "left").select("point", "low", F.coalesce("component", "point").alias("root"))
     roots = written(packed(roots, most), "roots")
     lowest_ids = roots.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -153,6 +172,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     return _grouped(docs).select("doc_id", "point", "component_id")
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of one document per group, as ``one_each`` chooses."""
-    return one_each(docs, _grouped(docs))
+def first_of_each(docs: DataFrame, prints: bool = False) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of one document per group, as ``one_each`` chooses.
+
+    With ``prints`` texts whose fingerprints ``simhash`` links are in one group, too, and so are those that both kinds of links connect.
+    """
+    return one_each(docs, _grouped(docs, prints))
