@@ -1,16 +1,19 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
-Restaurants: one per context, the function word that comes latest before a token (or the start of the text); all share one
+Restaurants: one per preceding word (or the start of the text), whatever the word, as of a bigram model; all share one
 parent, the restaurant of all words, whose base is diffuse: what it leaves to the base is the share of words not seen in
 training, one token as in the base score. Customers of the parent are the tables of the contexts. A Gibbs sweep goes over
 the contexts of each word: its customers there are taken up, with the tables that they have in the parent, and seated again one
 by one by the Chinese-restaurant process; as each seat was drawn without regard for those to come, the new seating is
 taken or left by the ratio of what the two make of all customers (a Metropolis step that keeps the posterior). Totals of restaurants
-are those of the sweep before, so that all words are seated in parallel. The predictive probabilities of the last
+are those of the sweep before, so that all words are seated in parallel; so are the contexts of one turn of a word that has
+more than CONTEXTS. A pair of words that was seen once has one table, and only counts. The predictive probabilities of the last
 sweeps are averaged.
 
-Counts stay distributed by word. Texts are coded once, in blocks, runs of rows of an input split with a bounded size: a block
-asks for its distinct words and is brought together with their answers. What goes to all tasks has a fixed size.
+Texts are coded once, in blocks, runs of rows of an input split with a bounded size. Words, and pairs of words, are dealt to
+buckets by their hashes, about BUCKET_BYTES of text to each: a block sends each bucket one packed message with all that it asks
+of it, and gets one with the answers in the order asked. Word buckets number the words (so that pairs are told apart exactly)
+and hold the seating; pair buckets add up the pairs of all blocks. What goes to all tasks has a fixed size.
 """
 
 from __future__ import annotations
@@ -27,16 +30,18 @@ from pyspark.sql import functions as F
 
 from framewright.llm.common import crc_mod, dropped, group_sums, released, spans, table, written
 
-#: Function words, the most frequent ones of up to SHORT bytes; with the start of a text as 0 they are the contexts.
-FUNCTION_WORDS, SHORT = 40, 6
-CONTEXTS = FUNCTION_WORDS + 1
+#: Turns of a sweep: up to so many contexts of a word are seated one after the other; of a word with more, as many turns of several.
+CONTEXTS = 41
 SWEEPS, KEPT = 3, 2
 STRENGTH = 1.0
+#: Up to so many customers are seated one by one, more by drawing who opens the next table; both draw from the same law.
+FEW = 16
 #: Rows and bytes of text of a block at most (a longer text is a block).
 BLOCK_ROWS, BLOCK_BYTES = 4_096, 16 << 20
-END = b"\n"
-#: Steps of log10 in which probabilities travel: 16 bits reach down to 10^-13.
-STEP = 2e-4
+#: Bytes of text for each bucket of words, and of pairs of words.
+BUCKET_BYTES = 16 << 20
+#: The end of a text, a token, and its start, a context.
+END, START = b"\n", b""
 
 
 # -- words and contexts ---------------------------------------------------------------------------
@@ -55,20 +60,6 @@ def _runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return codes[full], group_sums(full.astype(np.int64), np.diff(lists.offsets.to_numpy())), words
 
 
-def function_words(texts: DataFrame, most: int = FUNCTION_WORDS) -> list[bytes]:
-    """The most frequent short words of all texts ``(text)``, ties by the word; words that hold anything but letters are none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes, _, words = _runs(b.column("text"))
-            n = np.bincount(codes, minlength=len(words))
-            some = [(w, int(k)) for w, k in zip(words, n, strict=True) if k and len(w) <= SHORT and w.decode("utf-8", "replace").isalpha()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], type=pa.binary()), pa.array([x[1] for x in some], type=pa.int64())], names=["word", "n"])
-
-    got = texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()
-    return [bytes(r["word"]) for r in got]
-
-
 def coded(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Per token of a block, ends included: word code; the distinct words in order of their first use; tokens per text."""
     known: dict[bytes, int] = {}
@@ -83,31 +74,65 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return np.concatenate(parts), list(known), np.concatenate(sizes)
 
 
-def contexts_of(codes: np.ndarray, kind: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Per token: the context, given the number of each word among the function words (0: none) and the tokens per text."""
-    at = np.int32 if len(codes) < 2**31 else np.int64
-    own = kind[codes]
-    before = np.full(len(codes) + 1, -1, dtype=at)  # the latest function word before each token
-    before[1:][own > 0] = np.flatnonzero(own)
-    np.maximum.accumulate(before, out=before)
-    before = before[:-1]
-    before[before < np.repeat((np.cumsum(counts) - counts).astype(at), counts)] = -1  # that of the text before
-    return np.where(before >= 0, own[before], np.uint8(0))
+def pairs_of(codes: np.ndarray, number: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per token: the numbers of the word before it, or of the start (the last word), and of its own, in one integer."""
+    own = number[codes]
+    before = np.empty_like(own)
+    before[1:] = own[:-1]
+    before[np.cumsum(counts) - counts] = number[-1]
+    return before << 32 | own
+
+
+def bucket_of(pairs: np.ndarray, buckets: int) -> np.ndarray:
+    return (((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
 def packed(codes: np.ndarray) -> bytes:
-    """Codes in as few whole bytes each as the largest takes, byte by byte and compressed, after their number and width."""
+    """Whole numbers in as few whole bytes each as the largest takes, byte by byte and compressed, after their number and width."""
     width = max(1, -(-int(codes.max(initial=0)).bit_length() // 8))
-    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T)
+    planes = np.ascontiguousarray(codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
     return len(codes).to_bytes(8, "little") + bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
     n, width = int.from_bytes(raw[:8], "little"), raw[8]
     rows = np.frombuffer(pa.decompress(raw[9:], decompressed_size=n * width, codec="zstd", asbytes=True), dtype=np.uint8).reshape(width, n)
-    out = np.zeros((n, 4), dtype=np.uint8)
+    out = np.zeros((n, 8), dtype=np.uint8)
     out[:, :width] = rows.T
-    return out.view("<u4").ravel().astype(np.int32)
+    return out.view("<i8").ravel()
+
+
+def together(parts: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *map(unpacked, parts)])
+
+
+#: Messages: to and of which block or bucket, of what kind, and packed numbers.
+MAIL = "to long, of long, kind string, x array<binary>"
+
+
+def mail(rows: list[tuple[int, int, str, list]]) -> pa.Table:
+    x = [[v if isinstance(v, bytes) else packed(v) for v in r[3]] for r in rows]
+    kinds = (pa.int64(), pa.int64(), pa.string())
+    return pa.table([*(pa.array([r[i] for r in rows], type=t) for i, t in enumerate(kinds)), pa.array(x, type=pa.list_(pa.binary()))], names=["to", "of", "kind", "x"])
+
+
+def letters(t: pa.Table | pa.RecordBatch, kind: str) -> tuple[list[int], list[list[bytes]]]:
+    """Senders, in order, and contents of messages of a kind."""
+    got = sorted((o, x) for o, k, x in zip(*(t.column(c).to_pylist() for c in ("of", "kind", "x")), strict=True) if k == kind)
+    return [o for o, _ in got], [x for _, x in got]
+
+
+def dealt(to: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """For each receiver, in order, its part of some columns, in theirs."""
+    order = np.argsort(to, kind="stable")
+    edge = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0, True]) if len(to) else np.zeros(1, np.int64)
+    columns = [c[order] for c in columns]
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        yield int(to[order[lo]]), [c[lo:hi] for c in columns]
+
+
+def sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(at, weights=values, minlength=size).astype(np.int64)
 
 
 # -- seating --------------------------------------------------------------------------------------
@@ -153,7 +178,17 @@ class Seats:
         """
         tables = np.ones(len(n), dtype=np.int64)
         rows, places = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        live, i = np.flatnonzero(n > 1), np.ones(len(n), dtype=np.int64)
+        live = np.flatnonzero((n > 1) & (n <= FEW))
+        for seated in range(1, FEW):
+            live = live[n[live] > seated]
+            if not len(live):
+                break
+            t = tables[live].astype(np.float64)
+            f = self.fresh(live, t)
+            opens = live[rng.random(len(live)) * (seated - self.d * t + f) < f]
+            tables[opens] += 1
+            rows.append(opens), places.append(np.full(len(opens), seated))
+        live, i = np.flatnonzero((n > 1) & (n > FEW)), np.ones(len(n), dtype=np.int64)
         while len(live):
             t = tables[live].astype(np.float64)
             f, x = self.fresh(live, t), i[live] - self.d * t
@@ -189,58 +224,47 @@ class Seats:
 
 
 class State:
-    """Totals that a sweep has left: customers and tables per context, distinct words, and the discounts."""
+    """Totals that a sweep has left: customers and tables of some contexts; the tables of all, distinct words, and the discounts."""
 
-    def __init__(self, dense: np.ndarray):
-        self.customers, self.tables, self.distinct = dense[:CONTEXTS], dense[CONTEXTS : 2 * CONTEXTS], dense[2 * CONTEXTS]
-        one, two, one_root, two_root = dense[2 * CONTEXTS + 1 : 2 * CONTEXTS + 5]
+    def __init__(self, dense: np.ndarray, total: float | None = None):
+        n = (len(dense) - 5) // 2
+        self.customers, self.tables, self.distinct = dense[:n], dense[n : 2 * n], dense[2 * n]
+        one, two, one_root, two_root = dense[2 * n + 1 :]
+        self.total = self.tables.sum() if total is None else total
         rate = lambda a, b: float(np.clip(a / max(1.0, a + 2 * b), 0.1, 0.9))
         self.d, self.d_root = rate(one, two), rate(one_root, two_root)
 
     def root(self, m: np.ndarray) -> np.ndarray:
         """Share of words with m customers in the root: the base is diffuse, so each word has one table there."""
-        return np.maximum(m - self.d_root, 0) / (STRENGTH + self.tables.sum())
+        return np.maximum(m - self.d_root, 0) / (STRENGTH + self.total)
 
     def new(self) -> float:
         """What the root leaves to its base: the share of all words that it has not seen."""
-        return (STRENGTH + self.d_root * self.distinct) / (STRENGTH + self.tables.sum())
-
-    def share(self) -> np.ndarray:
-        """What each context leaves to the root."""
-        return (STRENGTH + self.d * self.tables) / (STRENGTH + self.customers)
-
-    def leaf(self, k: np.ndarray, n: np.ndarray, t: np.ndarray, up: np.ndarray) -> np.ndarray:
-        return (np.maximum(n - self.d * t, 0) + (STRENGTH + self.d * self.tables[k]) * up) / (STRENGTH + self.customers[k])
+        return (STRENGTH + self.d_root * self.distinct) / (STRENGTH + self.total)
 
+    def leaf(self, customers: np.ndarray, tables: np.ndarray, n: np.ndarray, t: np.ndarray, up: np.ndarray) -> np.ndarray:
+        """Share of words with n customers at t tables in contexts with so many of all words."""
+        return (np.maximum(n - self.d * t, 0) + (STRENGTH + self.d * tables) * up) / (STRENGTH + customers)
 
-def _columns(b: pa.RecordBatch):
-    """Contexts per word; context, customers and tables (by sweep, the newest last) of each; openings of the newest sweep."""
-    sizes = np.diff(b.column("ks").offsets.to_numpy())
-    k, n = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ks", "ns"))
-    return sizes, k.astype(np.int64), n, b.column("ts").flatten().to_numpy(zero_copy_only=False).reshape(len(k), -1), b.column("os").flatten().to_numpy(zero_copy_only=False)
 
-
-STATE = "word binary, c long, ks array<int>, ns array<long>, ts array<long>, os array<long>"
-
-
-def resampled(sizes: np.ndarray, k: np.ndarray, n: np.ndarray, t: np.ndarray, opened: np.ndarray, now: State, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """A Gibbs sweep over the contexts of some words: tables and openings."""
+def resampled(
+    sizes: np.ndarray, k: np.ndarray, n: np.ndarray, t: np.ndarray, opened: np.ndarray, now: State, rng: np.random.Generator, lone: np.ndarray | int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """A Gibbs sweep over the contexts of some words: tables and openings. Words have ``lone`` more tables in the root, of contexts that saw them once."""
     t = t.copy()
-    first, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
-    m = group_sums(t, sizes)
+    owner, nth = spans(sizes)
+    m = group_sums(t, sizes) + lone
     edges = np.cumsum(t - 1) - (t - 1)
     row_of, place_of = [np.repeat(np.arange(len(t)), t - 1)], [opened]
-    for j in range(int(sizes.max(initial=0))):
-        at = first[sizes > j] + j
-        at = at[n[at] > 1]  # one customer has one table
-        if not len(at):
-            continue
+    turn = np.where(sizes[owner] > CONTEXTS, nth * CONTEXTS // sizes[owner], nth)
+    live = np.flatnonzero(n > 1)  # one customer has one table
+    for _, (at,) in dealt(turn[live], live):
         own = t[at]
         old = opened[np.repeat(edges[at], own - 1) + spans(own - 1)[1]]
         w = owner[at]
-        seated = Seats(STRENGTH + now.d * (now.tables[k[at]] - own), (m[w] - own).astype(np.float64), STRENGTH + now.tables.sum() - own, now.d, now.d_root)
+        seated = Seats(STRENGTH + now.d * (now.tables[k[at]] - own), (m[w] - own).astype(np.float64), STRENGTH + now.total - own, now.d, now.d_root)
         new, places = seated.reseat(n[at], own, old, rng)
-        m[w] += new - own
+        np.add.at(m, w, new - own)
         t[at] = new
         row_of.append(np.repeat(at, new - 1)), place_of.append(places)
     single = n[row_of[0]] <= 1
@@ -248,53 +272,167 @@ def resampled(sizes: np.ndarray, k: np.ndarray, n: np.ndarray, t: np.ndarray, op
     return t, places[np.argsort(rows, kind="stable")]
 
 
-def _together(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
-    """Batches of so many rows or a little more: steps over few words cost as much as over many."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += len(b)
-        if n >= rows:
-            yield pa.concat_batches(held)
-            held, n = [], 0
-    if n:
-        yield pa.concat_batches(held)
-
-
-def swept(state: DataFrame, now: State, sweep: int) -> DataFrame:
-    """One Gibbs sweep over the words; ``ts`` has the tables of the latest KEPT sweeps for each context of a word, the newest last."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _together(batches):
-            sizes, k, n, t, opened = _columns(b)
-            rng = np.random.default_rng([sweep, len(b), zlib.crc32(b.column("word")[0].as_py()), zlib.crc32(b.column("word")[-1].as_py())])
-            new, opened = resampled(sizes, k, n, t[:, -1], opened, now, rng)
-            t = np.c_[t, new][:, -KEPT:]
-            lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(x)].astype(np.int32)), pa.array(v)) for x, v in ((sizes * t.shape[1], t.ravel()), (group_sums(new - 1, sizes), opened))]
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), b.column("ks"), b.column("ns"), *lists], names=["word", "c", "ks", "ns", "ts", "os"])
-
-    return state.mapInArrow(run, STATE)
-
-
-def totals(state: DataFrame) -> State:
-    """Sums over all words at a fixed number of places: customers and tables per context, distinct words, and how many have one or two."""
+# -- the model over buckets -----------------------------------------------------------------------
+# A word's number is its place in its bucket times the buckets, plus the bucket.
+
+
+def _numbered(t: pa.Table, buckets: int) -> pa.Table:
+    """The words of a bucket, the most frequent first: to each block the numbers and training counts of its own, and the sums of all."""
+    bucket = t.column("to")[0].as_py()
+    blocks, got = letters(t, "words")
+    words = pa.array(b" ".join(x[0] for x in got).split(b" "), type=pa.binary()).dictionary_encode().indices.to_numpy()
+    n = [unpacked(x[1]) for x in got]
+    c = sums(words, np.concatenate(n), int(words.max()) + 1)
+    place = np.empty(len(c), dtype=np.int64)
+    place[np.argsort(-c, kind="stable")] = np.arange(len(c))
+    edge = np.cumsum([0, *map(len, n)])
+    out = mail([(b, bucket, "numbers", [place[words[lo:hi]] * buckets + bucket, c[words[lo:hi]]]) for b, lo, hi in zip(blocks, edge[:-1], edge[1:], strict=True)])
+    first = np.arange(len(out)) == 0
+    return out.append_column("n", pa.array(first * int(c.sum()))).append_column("v", pa.array(first * int((c > 0).sum())))
+
+
+def _block(left: pa.Table, right: pa.Table):
+    """Of a block: its row, and per token the pair; the numbers' order of its words, and their training counts."""
+    row = left.slice(0, 1).to_pylist()[0]
+    codes, order = map(unpacked, row["x"])
+    counts = np.array(row["sizes"], dtype=np.int64)
+    _, got = letters(right, "numbers")
+    number, c = np.empty_like(order), np.empty_like(order)
+    number[order], c[order] = together([x[0] for x in got]), together([x[1] for x in got])
+    return row, codes, counts, order, c, pairs_of(codes, number, counts)
+
+
+def _asked(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
+    """The pairs of a block and their training counts, to each bucket its own."""
+    row, _, counts, _, _, pairs = _block(left, right)
+    learn = np.repeat(~np.array(row["held"], dtype=bool), counts)
+    seen, n = np.unique(pairs[learn], return_counts=True)
+    every = np.union1d(seen, pairs[~learn])
+    count = np.zeros(len(every), dtype=np.int64)
+    count[np.searchsorted(every, seen)] = n
+    return mail([(to, row["block"], "pairs", [p >> 32, p & 0xFFFFFFFF, k]) for to, (p, k) in dealt(bucket_of(every, buckets), every, count)])
+
+
+def _counted(t: pa.Table, buckets: int) -> pa.Table:
+    """The pairs of a bucket: which of them the blocks ask for, and to the buckets of their words those seen again and the numbers of those seen once."""
+    bucket = t.column("to")[0].as_py()
+    blocks, got = letters(t, "pairs")
+    u, w, n = (together([x[i] for x in got]) for i in range(3))
+    size = np.array([int.from_bytes(x[0][:8], "little") for x in got], dtype=np.int64)
+    pairs, where = np.unique(u << 32 | w, return_inverse=True)
+    n = sums(where, n, len(pairs))
+    u, w, many = pairs >> 32, pairs & 0xFFFFFFFF, n > 1
+    out = [(bucket, -1, "asked", [np.array(blocks, dtype=np.int64), size, where, n, w[many] % buckets])]
+    out += [(to, bucket, "many", x) for to, x in dealt(w[many] % buckets, u[many], w[many], n[many])]
+    names, at = np.unique(np.r_[u[n == 1], w[n == 1]], return_inverse=True)
+    before, own = (np.bincount(x, minlength=len(names)) for x in (at[: len(at) // 2], at[len(at) // 2 :]))
+    return mail(out + [(to, bucket, "once", x) for to, x in dealt(names % buckets, names // buckets, before, own)])
+
+
+def _begun(t: pa.Table, buckets: int) -> pa.Table:
+    """The seating of a bucket of words, a table for each pair: pairs seen once by context and by word, then contexts, words, customers, tables by sweep and openings of the others."""
+    bucket = t.column("to")[0].as_py()
+    once, many = letters(t, "once")[1], letters(t, "many")[1]
+    names, before, own = (together([x[i] for x in once]) for i in range(3))
+    u, w, n = (together([x[i] for x in many]) for i in range(3))
+    w //= buckets
+    size = int(max(names.max(initial=-1), w.max(initial=-1))) + 1
+    order = np.lexsort((u, -n, w))  # the contexts with most customers first: a turn has such of about as many
+    u, w, n = u[order], w[order], n[order]
+    return mail([(bucket, -1, "state", [sums(names, before, size), sums(names, own, size), u, w, n, *[np.ones_like(n)] * KEPT, np.zeros(0, np.int64)])])
+
+
+def _told(b: pa.RecordBatch, buckets: int) -> Iterator[pa.RecordBatch]:
+    """What a bucket's state tells the buckets of its contexts, customers and tables by sweep; to itself pairs seen once by context, and tables by word and sweep."""
+    for bucket, x in zip(b.column("to").to_pylist(), b.column("x").to_pylist(), strict=True):
+        before, own, u, w, n, *t = map(unpacked, x[:-1])
+        names, at = np.unique(u, return_inverse=True)
+        some = [sums(at, v, len(names)) for v in (n, *t)]
+        out = [(bucket, -1, "own", [before, *(own + sums(w, v, len(own)) for v in t)])]
+        yield from mail(out + [(to, bucket, "sums", x) for to, x in dealt(names % buckets, names // buckets, *some)]).to_batches()
+
+
+def _totals(t: pa.Table) -> tuple[list[int], list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Of a bucket: who told of contexts, and which; all customers and tables by sweep of its words as contexts, and tables of its words by sweep."""
+    of, got = letters(t, "sums")
+    own = [unpacked(v) for x in letters(t, "own")[1] for v in x] or [np.zeros(0, np.int64)] * (KEPT + 1)
+    asked = [unpacked(x[0]) for x in got]
+    size = max([len(own[0]), *(int(a.max(initial=-1)) + 1 for a in asked)])
+    at = np.concatenate([np.zeros(0, np.int64), *asked])
+    lone = np.r_[own[0], np.zeros(size - len(own[0]), np.int64)]
+    return of, asked, np.stack([lone + sums(at, together([x[i] for x in got]), size) for i in range(1, KEPT + 2)]), own[1:]
+
+
+def _replied(t: pa.Table) -> pa.Table:
+    bucket = t.column("to")[0].as_py()
+    of, asked, all_of, _ = _totals(t)
+    return mail([(o, bucket, "totals", [all_of[0][a], all_of[-1][a]]) for o, a in zip(of, asked, strict=True)])
+
+
+def _swept(left: pa.Table, right: pa.Table, overall: np.ndarray, sweep: int, buckets: int) -> pa.Table:
+    """One Gibbs sweep over the words of a bucket."""
+    bucket = left.column("to")[0].as_py()
+    before, own, u, w, n, *t, opened = map(unpacked, left.column("x")[0].as_py())
+    _, got = letters(right, "totals")
+    names, at = np.unique(u, return_inverse=True)
+    order = np.argsort(names % buckets, kind="stable")
+    customers, tables = np.empty(len(names)), np.empty(len(names))
+    customers[order], tables[order] = (together([x[i] for x in got]) for i in (0, 1))
+    word, sizes = np.unique(w, return_counts=True)
+    now = State(np.r_[customers, tables, overall[1:]], overall[0])
+    new, opened = resampled(sizes, at, n, t[-1], opened, now, np.random.default_rng([sweep, bucket]), own[word])
+    return mail([(bucket, -1, "state", [before, own, u, w, n, *[*t, new][-KEPT:], opened])])
+
+
+def totals(state: DataFrame) -> np.ndarray:
+    """Sums over all words at a fixed number of places: tables, distinct words, and how many pairs and words have one or two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(2 * CONTEXTS + 5)
+        out = np.zeros(6)
         for b in batches:
-            if not len(b):
-                continue
-            sizes, k, n, t, _ = _columns(b)
-            m = group_sums(t[:, -1], sizes)
-            out[:CONTEXTS] += np.bincount(k, weights=n, minlength=CONTEXTS)
-            out[CONTEXTS : 2 * CONTEXTS] += np.bincount(k, weights=t[:, -1], minlength=CONTEXTS)
-            out[2 * CONTEXTS :] += len(b), (n == 1).sum(), (n == 2).sum(), (m == 1).sum(), (m == 2).sum()
+            for x in b.column("x").to_pylist():
+                own, w, n, t = (unpacked(x[i]) for i in (1, 3, 4, 4 + KEPT))
+                m = own + sums(w, t, len(own))
+                out += m.sum(), (m > 0).sum(), own.sum(), (n == 2).sum(), (m == 1).sum(), (m == 2).sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], names=["at", "v"])
 
-    dense = np.zeros(2 * CONTEXTS + 5)
+    dense = np.zeros(6)
     for r in state.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
         dense[r["at"]] = r["v"]
-    return State(dense)
+    return dense
+
+
+def _words_answered(t: pa.Table, buckets: int) -> pa.Table:
+    """To each block, in the order of its words in the bucket: customers and tables by sweep as contexts, and tables in the root by sweep."""
+    bucket = t.column("to")[0].as_py()
+    _, _, all_of, own = _totals(t)
+    of, got = letters(t, "numbers")
+    asked = [unpacked(x[0]) // buckets for x in got]
+    size = max([all_of.shape[1], *(int(a.max(initial=-1)) + 1 for a in asked)])
+    every = np.stack([np.r_[v, np.zeros(size - len(v), np.int64)] for v in (*all_of, *own)])
+    return mail([(o, bucket, "words", list(every[:, a])) for o, a in zip(of, asked, strict=True)])
+
+
+def _pairs_back(b: pa.RecordBatch, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The tables by sweep of a bucket's pairs, to the buckets that they were counted in, in the order of pairs."""
+    for bucket, x in zip(b.column("to").to_pylist(), b.column("x").to_pylist(), strict=True):
+        u, w, _, *t = map(unpacked, x[2:-1])
+        pairs = u << 32 | (w * buckets + bucket)
+        order = np.argsort(pairs)
+        yield from mail([(to, bucket, "tables", x) for to, x in dealt(bucket_of(pairs[order], buckets), *(v[order] for v in t))]).to_batches()
+
+
+def _pairs_answered(left: pa.Table, right: pa.Table) -> pa.Table:
+    """To each block, in the order asked: customers and tables by sweep of its pairs."""
+    bucket = left.column("to")[0].as_py()
+    blocks, size, where, n, word = map(unpacked, left.column("x")[0].as_py())
+    _, got = letters(right, "tables")
+    many = np.flatnonzero(n > 1)[np.argsort(word, kind="stable")]
+    t = np.tile(np.minimum(n, 1), (KEPT, 1))
+    for i in range(KEPT):
+        t[i, many] = together([x[i] for x in got])
+    edge = np.r_[0, np.cumsum(size)]
+    return mail([(int(b), bucket, "pairs", [n[where[lo:hi]], *t[:, where[lo:hi]]]) for b, lo, hi in zip(blocks, edge[:-1], edge[1:], strict=True)])
 
 
 def scored(docs: DataFrame, modulus: int = 7, held: int = 2, most: tuple[int, int] = (BLOCK_ROWS, BLOCK_BYTES)) -> DataFrame:
@@ -305,113 +443,85 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2, most: tuple[int, in
     certain of the unknown token. Texts are taken whole; no rows give no rows. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
+    buckets = max(1, -(-int(size) // BUCKET_BYTES))
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", (crc_mod("doc_id", modulus) == held).alias("held_out"))
-    function = {w: k for k, w in enumerate(function_words(rows.where("not held_out and text is not null").select("text")), 1)}
 
     def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "block", "i", "word", "k", "n", "once", "ids", "held", "sizes", "codes", "kinds"]
-        void = lambda n, *kinds: [pa.nulls(n, t) for t in kinds]
+        names = ["block", "ids", "held", "sizes"]
         for block, ids, out, texts in _blocks(batches, Runs(*most)):
             codes, words, counts = coded(texts)
-            kind = np.fromiter((function.get(w, 0) for w in words), dtype=np.uint8, count=len(words))
-            learn = np.repeat(~out, counts)
-            pair, n = np.unique(codes[learn].astype(np.int64) * CONTEXTS + contexts_of(codes, kind, counts)[learn], return_counts=True)
-            lone = np.setdiff1d(np.arange(len(words)), pair // CONTEXTS)
-            at = np.r_[pair // CONTEXTS, lone]
-            once = np.r_[np.diff(pair // CONTEXTS, prepend=-1) > 0, np.ones(len(lone), dtype=bool)]
-            asked = [
-                pa.array(["asked"] * len(at)), pa.array(np.full(len(at), block)), pa.array(at.astype(np.int32)), pa.array(words, type=pa.binary()).take(pa.array(at)),
-                pa.array(np.r_[pair % CONTEXTS, np.zeros(len(lone), np.int64)].astype(np.int32)), pa.array(np.r_[n, np.zeros(len(lone), np.int64)]), pa.array(once),
-            ]
-            yield pa.RecordBatch.from_arrays([*asked, *void(len(at), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary())], names=names)
-            texts_of = [pa.array([x], type=t) for x, t in ((ids.to_pylist(), pa.list_(pa.int64())), (out.tolist(), pa.list_(pa.bool_())), (counts.tolist(), pa.list_(pa.int64())), (packed(codes), pa.binary()), (kind.tobytes(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([pa.array(["texts"]), pa.array([block]), *void(1, pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.bool_()), *texts_of], names=names)
-
-    both = written(rows.mapInArrow(need, "part string, block long, i int, word binary, k int, n long, once boolean, ids array<long>, held array<boolean>, sizes array<long>, codes binary, kinds binary"), "blocks", by="part")
-    asked, blocks = both.where("part = 'asked'"), both.where("part = 'texts'").select("block", "ids", "held", "sizes", "codes", "kinds")
-    most_tasks = max(1, blocks.count())
-    # dealt by the word once, for both sums: a word has a row per block and context
-    counted = asked.where("n > 0").select("word", "k", "n").repartition("word").groupBy("word", "k").agg(F.sum("n").alias("n"))
-    state = counted.groupBy("word").agg(F.sum("n").alias("c"), F.collect_list(F.struct("k", "n")).alias("kn"))
-    one = F.transform("kn", lambda x: F.lit(1).cast("long"))
-    state = written(state.select("word", "c", F.col("kn.k").alias("ks"), F.col("kn.n").alias("ns"), one.alias("ts"), F.array().cast("array<long>").alias("os")), "state")
-    released(docs.sparkSession)
-    seen = state.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+            n = np.r_[np.bincount(codes[np.repeat(~out, counts)], minlength=len(words)), 0]
+            words.append(START)
+            at = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % buckets
+            asked = [(to, block, "words", [b" ".join([words[i] for i in some]), n[some]]) for to, (some,) in dealt(at, np.arange(len(words)))]
+            got = mail([*asked, (-1, block, "texts", [codes, np.argsort(at, kind="stable")])])
+            row = [block, ids.to_pylist(), out.tolist(), counts.tolist()]
+            for name, v, t in zip(names, row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())), strict=True):
+                got = got.append_column(name, pa.array([None] * len(asked) + [v], type=t))
+            yield from got.combine_chunks().to_batches()
+
+    def to(df: DataFrame, n: int = buckets, by: str = "to") -> DataFrame:
+        return df.repartition(n, by)  # as many partitions as receivers: what a task reads does not grow with the input
+
+    both = written(rows.mapInArrow(need, f"{MAIL}, block long, ids array<long>, held array<boolean>, sizes array<long>"), "blocks", by="kind")
+    texts = both.where("kind = 'texts'").select("block", "ids", "held", "sizes", "x")
+    blocks = max(1, texts.count())
+    columns = ["to", "of", "kind", "x"]
+    numbers = written(to(both.where("kind = 'words'").select(*columns)).groupBy("to").applyInArrow(lambda t: _numbered(t, buckets), f"{MAIL}, n long, v long"), "numbers")
+    dropped(both, "kind=words")
+    seen = numbers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     big_n, big_v = int(seen["n"]), int(seen["v"])
+    numbers = numbers.select(*columns)
+    by_block = to(texts, blocks, "block").groupBy("block")
+    asked = by_block.cogroup(to(numbers, blocks).groupBy("to")).applyInArrow(lambda a, b: _asked(a, b, buckets), MAIL)
+    pairs = written(to(asked).groupBy("to").applyInArrow(lambda t: _counted(t, buckets), MAIL), "pairs", by="kind")
+    released(docs.sparkSession)
+    state = written(to(pairs.where("kind in ('many', 'once')").select(*columns)).groupBy("to").applyInArrow(lambda t: _begun(t, buckets), MAIL), "state")
+    for kind in ("many", "once"):
+        dropped(pairs, f"kind={kind}")
+
+    def told(state: DataFrame) -> DataFrame:
+        return state.mapInArrow(lambda batches: (m for b in batches for m in _told(b, buckets)), MAIL)
+
+    def step(overall: np.ndarray, sweep: int):
+        return lambda a, b: _swept(a, b, overall, sweep, buckets)
+
     models = [totals(state)]
     for sweep in range(SWEEPS):
-        after = written(swept(state, models[-1], sweep), "state")
+        replies = to(told(state)).groupBy("to").applyInArrow(_replied, MAIL)
+        after = written(to(state).groupBy("to").cogroup(to(replies).groupBy("to")).applyInArrow(step(models[-1], sweep), MAIL), "state")
         dropped(state)
         state = after
         models.append(totals(state))
-    models = models[-KEPT:]
-    width = 2 * len(models)
-
-    def quantised(p: np.ndarray) -> np.ndarray:
-        return np.minimum(np.rint(-np.log10(np.maximum(p, 1e-13)) / STEP), 65535).astype("<u2")
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
-            sizes, k, n, t, _ = _columns(b)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            ups, leaf = [], np.zeros(len(k))
-            for j, model in enumerate(models):
-                up = model.root(group_sums(t[:, j], sizes))
-                leaf += model.leaf(k, n, t[:, j], up[owner]) / len(models)
-                ups.append(up)
-            size = width + 3 * sizes
-            first = np.cumsum(size) - size
-            raw = np.zeros(int(size.sum()), dtype=np.uint8)
-            raw[first[:, None] + np.arange(width)] = quantised(np.stack(ups, axis=1)).view(np.uint8)
-            spot = first[owner] + width + 3 * spans(sizes)[1]
-            raw[spot] = k
-            raw[spot[:, None] + np.arange(1, 3)] = quantised(leaf).view(np.uint8).reshape(-1, 2)
-            told = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), told], names=["word", "c", "told"])
-
-    # a word's answer: its share in the root by model, then each context that it was seen in with its share there
-    answers = written(state.mapInArrow(answer, "word binary, c long, told binary"), "answers")
-    dropped(state)
-    found = written(asked.where("once").select("block", "i", "word").join(answers, "word").select("block", "i", "c", "told"), "found")
-    dropped(both, "part=asked")
-    dropped(answers)
-    released(docs.sparkSession)
-    shares = np.stack([m.share() for m in models])
+    models = [State(m[1:], m[0]) for m in models[-KEPT:]]
+    by_bucket = numbers.select(F.col("of").alias("to"), F.col("to").alias("of"), "kind", "x")
+    words = to(told(state).unionByName(by_bucket)).groupBy("to").applyInArrow(lambda t: _words_answered(t, buckets), MAIL)
+    back = to(state.mapInArrow(lambda batches: (m for b in batches for m in _pairs_back(b, buckets)), MAIL))
+    found = to(pairs.where("kind = 'asked'").select(*columns)).groupBy("to").cogroup(back.groupBy("to")).applyInArrow(_pairs_answered, MAIL)
+    answers = numbers.unionByName(words).unionByName(found)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = left.slice(0, 1).to_pylist()[0]
-        codes, kind, counts = unpacked(block["codes"]), np.frombuffer(block["kinds"], dtype=np.uint8), np.array(block["sizes"], dtype=np.int64)
-        del left
-        ctx, n = contexts_of(codes, kind, counts), len(kind)
-        c, up, keys, values = np.zeros(n, dtype=np.int64), np.zeros((n, len(models))), np.zeros(0, np.int64), np.zeros(0)
-        if len(right):
-            order = np.argsort(at := right.column("i").to_numpy(), kind="stable")
-            c[at] = right.column("c").to_numpy()
-            told = right.column("told").combine_chunks()
-            told = told.chunk(0) if isinstance(told, pa.ChunkedArray) else told
-            del right
-            bounds = np.frombuffer(told.buffers()[1], dtype=np.int32)[told.offset : told.offset + len(at) + 1].astype(np.int64)
-            raw = np.frombuffer(told.buffers()[2], dtype=np.uint8)
-            tenth = lambda x: 10.0 ** (-STEP * x.copy().view("<u2"))
-            up[at] = tenth(raw[bounds[:-1, None] + np.arange(width)])
-            per = ((np.diff(bounds) - width) // 3)[order]
-            owner, nth = spans(per)
-            spot = bounds[:-1][order][owner] + width + 3 * nth
-            keys, values = at[order][owner].astype(np.int64) * 256 + raw[spot], tenth(raw[spot[:, None] + np.arange(1, 3)]).ravel()
-            sort = np.argsort(keys, kind="stable")
-            keys, values = keys[sort], values[sort]
-        up[c == 0] = [m.new() for m in models]  # all that is unknown is one token, as for the base score
+        block, codes, counts, order, c, pairs = _block(left, right)
+        own = np.zeros((2 * KEPT + 1, len(order)))  # customers and tables as contexts, tables in the root
+        got = letters(right, "words")[1]
+        for i in range(len(own)):
+            own[i, order] = together([x[i] for x in got])
+        got = letters(right, "pairs")[1]
+        every = np.unique(pairs)
+        place = np.argsort(bucket_of(every, buckets), kind="stable")
+        seats = np.zeros((KEPT + 1, len(every)), dtype=np.int64)
+        for i in range(len(seats)):
+            seats[i, place] = together([x[i] for x in got])
+        before = np.empty_like(codes)
+        before[1:] = codes[:-1]
+        before[np.cumsum(counts) - counts] = len(order) - 1
+        ups = [np.where(c == 0, m.new(), m.root(own[KEPT + 1 + j])) for j, m in enumerate(models)]  # all that is unknown is one token, as for the base score
         base = np.log10((c + 1) / (big_n + big_v + 1))
         scores, step = np.zeros(len(codes)), 1 << 18
         for lo in range(0, len(codes), step):
-            word, k = codes[lo : lo + step], ctx[lo : lo + step]
-            p = np.einsum("ij,ij->i", up[word], shares.T[k]) / len(models)
-            key = word.astype(np.int64) * 256 + k
-            spot = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            if len(keys):
-                p = np.where(keys[spot] == key, values[spot], p)
+            word, k, spot = codes[lo : lo + step], before[lo : lo + step], np.searchsorted(every, pairs[lo : lo + step])
+            p = sum(m.leaf(own[0, k], own[1 + j, k], seats[0, spot], seats[1 + j, spot], ups[j][word]) for j, m in enumerate(models)) / len(models)
             scores[lo : lo + step] = np.log10(np.maximum(p, 1e-300))
         return pa.table(
             {
@@ -422,9 +532,7 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2, most: tuple[int, in
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    # as many partitions as blocks: what a task reads does not grow with the input
-    blocks, found = (x.repartition(most_tasks, "block") for x in (blocks, found))
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, schema)
+    return by_block.cogroup(to(answers, blocks).groupBy("to")).applyInArrow(score, schema)
 
 
 class Runs:

@@ -173,6 +173,51 @@ def test_pitman_yor_posterior():
     assert np.allclose(pitman_yor.lgamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-11)
 
 
+def test_pitman_yor_contexts(spark, monkeypatch):
+    """Every preceding word is a context, and a word has as many as it comes after: rare ones tell what comes next, wherever the rows and buckets are cut."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(x for j in (rng.randrange(150) for _ in range(25)) for x in (f"before{j}", f"after{j}"))) for i in range(500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    many = pitman_yor.scored(d, most=(40, 1 << 20)).collect()
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 1 << 15)  # several buckets
+    for got in (many, pitman_yor.scored(d, most=(40, 1 << 20)).collect()):
+        held = [r for r in got if r["held_out"]]
+        per = sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held)
+        assert len(got) == 500 and abs(per + 0.5 * np.log10(150)) < 0.12  # half of all words are certain, half one of 150
+    assert {(r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"]) for r in many} == {(r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"]) for r in got}
+
+
+def test_pitman_yor_pairs(spark, monkeypatch):
+    """What follows a word, of few words seen often, is told by the counts of pairs."""
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 1 << 10)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(9))) for _ in range(300)]
+    held = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [*enumerate(texts), *((held[k], f"a {w}") for k, w in enumerate("abcdefgh")), *((held[8 + k], w) for k, w in enumerate("abcdefgh"))]
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), most=(50, 1 << 20)).collect()}
+    after: dict = {b"": Counter(), b"a": Counter()}
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            w = [b"", *pitman_yor.tokens(t.encode())]
+            for u, x in zip(w, w[1:], strict=False):
+                after.setdefault(u, Counter())[x] += 1
+    for k, w in enumerate("abcdefgh"):  # p(a | start) p(w | a) / p(w | start): the end after w is in both texts
+        want = after[b""][b"a"] * after[b"a"][w.encode()] / after[b"a"].total() / after[b""][w.encode()]
+        assert 10 ** (got[held[k]] - got[held[8 + k]]) == pytest.approx(want, rel=0.35), w
+
+
+def test_pitman_yor_seats(monkeypatch):
+    """Customers seated one by one, and by drawing who opens the next table, follow one law."""
+    got = []
+    for few in (16, 1):
+        monkeypatch.setattr(pitman_yor, "FEW", few)
+        size = 40_000
+        seats = pitman_yor.Seats(np.full(size, 3.0), np.full(size, 2.0), np.full(size, 20.0), 0.6, 0.3)
+        tables, places = seats.seat(np.full(size, 9), np.random.default_rng(2))
+        got.append((np.bincount(tables, minlength=10)[:10] / size, np.bincount(places, minlength=10)[:10] / size))
+    assert np.abs(got[0][0] - got[1][0]).max() < 0.012 and np.abs(got[0][1] - got[1][1]).max() < 0.012
+
+
 def test_pitman_yor_blocks(docs):
     whole = sorted(map(repr, pitman_yor.scored(docs).drop("score").collect()))
     cut = pitman_yor.scored(docs, most=(7, 2_000))
