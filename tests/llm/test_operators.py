@@ -578,6 +578,19 @@ def test_passages_with_partial_holders(spark):
     assert got == {(11, 10), (12, 11), (12, 10)} or got == {(11, 10), (12, 11)}
 
 
+def test_passages_with_holders_of_all_seeds(spark):
+    """Two word-for-word copies of a passage, all of whose shorter runs have other holders before and between them, are linked."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for size in (47, 60, 90):
+        whole = fresh(size)
+        parts = [whole[i : i + 39] for i in range(size - 38)]  # too short for a result
+        rows = [(i, fresh(20) + p + fresh(20)) for i, p in enumerate(parts)] + [(200 + i, fresh(20) + p + fresh(20)) for i, p in enumerate(parts)]
+        rows += [(100, fresh(30) + whole + fresh(30)), (300, fresh(30) + whole + fresh(30))]
+        got = passages.repeated(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+        assert any((r["doc_id"], r["of_doc_id"]) == (300, 100) and r["n_words"] >= size for r in got), size
+
+
 def test_passages_within_a_text(spark):
     fresh = lambda n, k=itertools.count(): [f"v{next(k)}" for _ in range(n)]
     p = fresh(60)
