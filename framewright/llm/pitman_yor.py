@@ -306,10 +306,9 @@ def _asked(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
     """The pairs of a block and their training counts, to each bucket its own."""
     row, _, counts, _, _, pairs = _block(left, right)
     learn = np.repeat(~np.array(row["held"], dtype=bool), counts)
-    seen, n = np.unique(pairs[learn], return_counts=True)
-    every = np.union1d(seen, pairs[~learn])
-    count = np.zeros(len(every), dtype=np.int64)
-    count[np.searchsorted(every, seen)] = n
+    code, every = pd.factorize(pairs)
+    order = np.argsort(every)
+    every, count = every[order], np.bincount(code[learn], minlength=len(every))[order]
     return mail([(to, row["block"], "pairs", [p >> 32, p & 0xFFFFFFFF, k]) for to, (p, k) in dealt(bucket_of(every, buckets), every, count)])
 
 
@@ -508,21 +507,26 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2, most: tuple[int, in
         for i in range(len(own)):
             own[i, order] = together([x[i] for x in got])
         got = letters(right, "pairs")[1]
-        every = np.unique(pairs)
-        place = np.argsort(bucket_of(every, buckets), kind="stable")
+        code, every = pd.factorize(pairs)
+        place = np.argsort(every)
+        place = place[np.argsort(bucket_of(every[place], buckets), kind="stable")]
         seats = np.zeros((KEPT + 1, len(every)), dtype=np.int64)
         for i in range(len(seats)):
             seats[i, place] = together([x[i] for x in got])
+        first = np.empty(len(every), dtype=np.int64)
+        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
         before = np.empty_like(codes)
         before[1:] = codes[:-1]
         before[np.cumsum(counts) - counts] = len(order) - 1
         ups = [np.where(c == 0, m.new(), m.root(own[KEPT + 1 + j])) for j, m in enumerate(models)]  # all that is unknown is one token, as for the base score
         base = np.log10((c + 1) / (big_n + big_v + 1))
-        scores, step = np.zeros(len(codes)), 1 << 18
-        for lo in range(0, len(codes), step):
-            word, k, spot = codes[lo : lo + step], before[lo : lo + step], np.searchsorted(every, pairs[lo : lo + step])
-            p = sum(m.leaf(own[0, k], own[1 + j, k], seats[0, spot], seats[1 + j, spot], ups[j][word]) for j, m in enumerate(models)) / len(models)
-            scores[lo : lo + step] = np.log10(np.maximum(p, 1e-300))
+        logs, run = np.zeros(len(every)), 1 << 18
+        for lo in range(0, len(every), run):
+            at, (n, *t) = first[lo : lo + run], seats[:, lo : lo + run]
+            word, k = codes[at], before[at]
+            p = sum(m.leaf(own[0, k], own[1 + j, k], n, t[j], ups[j][word]) for j, m in enumerate(models)) / len(models)
+            logs[lo : lo + run] = np.log10(np.maximum(p, 1e-300))
+        scores = logs[code]
         return pa.table(
             {
                 "doc_id": pa.array(block["ids"], type=pa.int64()), "held_out": pa.array(block["held"], type=pa.bool_()), "n_tokens": pa.array(counts),
